@@ -94,10 +94,11 @@ def _rows_of(batches: Iterator[pa.RecordBatch], width: int, rows: int, bands: in
 
 
 def _pairs_of_groups(key: np.ndarray, value: np.ndarray, side: np.ndarray, sided: bool, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (a, b) of the groups of up to `limit` values, and the values of larger groups.
-    All arrays are sorted by key and value."""
+    """Pairs (a, b) of the groups of up to `limit` values, and the values of larger groups."""
     if not len(key):
         return key, key, key
+    order = np.lexsort((value, key))
+    key, value, side = key[order], value[order], side[order]
     first = np.ones(len(key), bool)
     first[1:] = (key[1:] != key[:-1]) | (value[1:] != value[:-1])
     at = np.flatnonzero(first)
@@ -127,7 +128,8 @@ def _pairs_of_groups(key: np.ndarray, value: np.ndarray, side: np.ndarray, sided
 
 
 def _buckets(batches: Iterator[pa.RecordBatch], sided: bool, limit: int) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by key: kind 0 = the texts' own rows, 1 = pairs, 2 = members of hot buckets."""
+    """From rows sorted by key: kind 0 = the row that stands for its class, 3 = its other members,
+    1 = pairs, 2 = members of hot buckets."""
     names = ["kind", "a", "b", "side", "id", "sketch"]
 
     def out(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
@@ -142,12 +144,18 @@ def _buckets(batches: Iterator[pa.RecordBatch], sided: bool, limit: int) -> Iter
             yield out(2, np.unique(over), np.unique(over))
 
     empty = np.empty(0, np.int64)
-    carry, hot = (empty, empty, empty), None
+    carry, hot, last = (empty, empty, empty), None, None
     for batch in batches:
         own = batch.filter(batch.column(3).is_valid())
-        if own.num_rows:
-            n = own.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), own.column(1), own.column(1), own.column(2), own.column(3), own.column(4)], names)
+        if n := own.num_rows:
+            prints = own.column(0).to_numpy()
+            first = np.ones(n, bool)
+            first[1:] = prints[1:] != prints[:-1]
+            first[0] = last is None or prints[0] != last
+            last = prints[-1]
+            for kind, part in ((0, own.filter(pa.array(first))), (3, own.filter(pa.array(~first)))):
+                m = part.num_rows
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, kind, np.int32)), part.column(1), part.column(1), part.column(2), part.column(3), pa.nulls(m, pa.binary()) if kind else part.column(4)], names)
         rest = batch.filter(batch.column(3).is_null())
         key, value, side = (np.concatenate([old, rest.column(k).to_numpy(zero_copy_only=False).astype(np.int64)]) for k, old in enumerate(carry))
         if hot is not None and len(key):
@@ -251,12 +259,12 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, *, width: int = 5
         texts = texts.filter("side > 0")
     keyed = texts.select("id", "text", "side").mapInArrow(partial(_rows_of, width=width, rows=rows, bands=bands), ROWS)
     found = written(
-        keyed.repartition("key").sortWithinPartitions("key", "print").mapInArrow(partial(_buckets, sided=bool(side_col), limit=bucket), FOUND).select("kind", "a", "b", "side", "id", "sketch"),
+        keyed.repartition("key").sortWithinPartitions("key").mapInArrow(partial(_buckets, sided=bool(side_col), limit=bucket), FOUND).select("kind", "a", "b", "side", "id", "sketch"),
         "buckets",
     )
     release(spark)
-    members = found.filter("kind = 0").select("id", F.col("a").alias("print"), "side")
-    classes = found.filter("kind = 0").groupBy(F.col("a").alias("print")).agg(F.min("id").alias("id"), F.min("sketch").alias("sketch"))
+    members = found.filter("kind in (0, 3)").select("id", F.col("a").alias("print"), "side")
+    classes = found.filter("kind = 0").select(F.col("a").alias("print"), "id", "sketch")
     candidates = found.filter("kind = 1").select("a", "b").distinct()
     hot = found.filter("kind = 2").select(F.col("a").alias("print")).distinct()
     if not hot.isEmpty():

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import neardup
+from barloom.llm import clusters, neardup, spans
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,16 @@ def p1_by_split_and_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keys.join(found, "event_id", "left").groupBy("split", "source").agg(F.count("*").alias("n_events"), F.count("hit").alias("n_overlapping"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = clusters.vector_clusters(table(spark, sf_dir, "event_vectors"), "event_id", "embedding", threshold=0.7)
+    return clusters.memberships(found).filter("id <> first_id").select(F.col("first_id").alias("first_event_id"), F.col("id").alias("event_id"))
+
+
+def p2_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = clusters.vector_clusters(table(spark, sf_dir, "event_vectors"), "event_id", "embedding", threshold=0.7)
+    return clusters.describe(found).withColumnRenamed("first_id", "first_event_id")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "analyze_prototypes")
     near = neardup.near_duplicates(events, "event_id", "text", width=3, threshold=0.6)
@@ -44,8 +54,22 @@ def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(near).withColumnRenamed("id", "event_id")
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shared = spans.shared_spans(table(spark, sf_dir, "documents"), "doc_id", "text", length=200)
+    return spans.sharing_pairs(shared).select(F.col("id_a").alias("doc_id_a"), F.col("id_b").alias("doc_id_b"))
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shared = spans.shared_spans(table(spark, sf_dir, "documents"), "doc_id", "text", length=200)
+    return spans.shared_shares(shared).withColumnRenamed("id", "doc_id")
+
+
+def p9_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.repeated_lines(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_by_split_and_source, p3_found, p3_groups)}
+    return {f.__name__: f for f in (p1_found, p1_by_split_and_source, p2_found, p2_clusters, p3_found, p3_groups, p9_found, p9_shares, p9_repeated_lines)}
 
 
 def oracle_sql() -> dict[str, str]:
