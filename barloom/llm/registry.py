@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import clusters, neardup, spans
+from barloom.llm import clusters, neardup, residue, spans
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,17 @@ def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(near).withColumnRenamed("id", "event_id")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = residue.residue(table(spark, sf_dir, "inspect_schema"), "source_row_number", "text")
+    return found.select(F.col("id").alias("source_row_number"))
+
+
+def p4_by_source_and_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = table(spark, sf_dir, "inspect_schema")
+    found = residue.residue(bars, "source_row_number", "text").withColumnRenamed("id", "source_row_number")
+    return found.join(bars.select("source_row_number", "source"), "source_row_number").groupBy("source", "kind").agg(F.count("*").alias("n_rows"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     shared = spans.shared_spans(table(spark, sf_dir, "documents"), "doc_id", "text", length=200)
     return spans.sharing_pairs(shared).select(F.col("id_a").alias("doc_id_a"), F.col("id_b").alias("doc_id_b"))
@@ -69,7 +80,7 @@ def p9_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_by_split_and_source, p2_found, p2_clusters, p3_found, p3_groups, p9_found, p9_shares, p9_repeated_lines)}
+    return {f.__name__: f for f in (p1_found, p1_by_split_and_source, p2_found, p2_clusters, p3_found, p3_groups, p4_found, p4_by_source_and_kind, p9_found, p9_shares, p9_repeated_lines)}
 
 
 def oracle_sql() -> dict[str, str]:

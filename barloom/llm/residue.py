@@ -1,0 +1,152 @@
+"""Template residue, filler and error-page text in place of content.
+
+A multi-pattern automaton marks every known phrase of a text in one pass; the text is residue when
+the marked part is most of it.  News that merely mentions such a phrase is mostly unmarked.  Slots
+of story templates are a case wherever they stand, so they are matched on their own.
+"""
+
+from __future__ import annotations
+
+import functools
+import re
+from collections.abc import Iterator
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Share of a text's characters (numbers and identifiers aside) that phrases must cover.
+COVERAGE = 0.75
+
+# Phrases of servers, sites and publishing systems, lower case, words separated by one
+# blank. Each alone is evidence.
+PHRASES = {
+    "filler": """
+        lorem|ipsum|dolor|sit|amet|consectetur|adipiscing|elit|sed|cordis|etum|velum|varius|orbis|tempus|porta|nulla|quam|mollis|vitae|magna|tincidunt|vestibulum
+        asdf|asdfasdf|qwerty|qwertz|azerty|foo|bar|baz|blah|bla|xxx|abc|test test|testing testing|hjkl|jkl|dfgh
+        blindtext|blindtext zur ansicht|platzhaltertext|dies ist ein blindtext|texte factice pour la mise en page|texte factice|texte de remplissage|faux texte
+        texto de relleno|texto de prueba|texto de ejemplo|placeholder text for layout|placeholder text|placeholder|placeholder only|dummy paragraph|dummy text|sample text|filler text|test text
+        body copy goes here|article text to follow here|article text to follow|your headline here|your text here|text goes here|headline goes here|content goes here|summary goes here|story goes here
+        enter summary text|enter headline text|enter text here|type your article here|type your text here|type here|insert text here|add text here|add text|no title yet|untitled document|untitled
+        draft only|content to be added|content coming soon|coming soon|to be written|text to come|copy to come|story to come
+        this is a dummy article|this is a test story|this is a sample record|this is a test|this is a test article|this is only a test|this is a placeholder|this is a sample|this is a dummy|this is a dummy record|this is a dummy story|this is a sample article|this is a sample story|this is a test record
+        used to check the layout|used to fill the page|used to verify the feed|please ignore|please remove before release|please replace before release|please overwrite before release|remove before publishing|do not publish
+    """,
+    "error": """
+        not found|page not found|file not found|forbidden|unauthorized|bad request|bad gateway|gateway timeout|gateway time out|service unavailable|service temporarily unavailable|internal server error|too many requests|gone|method not allowed|request timeout|proxy error|connection timed out|connection refused
+        http error|server error|application error|runtime error|fatal error|unexpected error|an error occurred|an error has occurred|an unexpected error occurred|database error|error establishing a database connection
+        could not connect to|could not connect to article store|could not connect to database|unable to connect|host unreachable|upstream request timeout|upstream connect error|no healthy upstream|stack trace|segmentation fault|traceback most recent call last
+        the page you requested could not be found|the page you are looking for could not be found|the requested page could not be found|this page could not be found|this page does not exist|page does not exist|it may have been moved or deleted|may have been moved or deleted|this story is no longer here|this page is no longer here|this article is no longer available|this story is no longer available|go back to the front page or try a search|go back to the front page|go back to the home page|try a search|return to the home page|the requested url was not found on this server
+        we re sorry something went wrong on our end|something went wrong on our end|something went wrong|we re sorry|sorry|oops|please try again later|try again later|try again in
+        down for maintenance|site under maintenance|under maintenance|scheduled maintenance|we will be back at|we will be back soon|we ll be back soon|be right back
+        seite nicht gefunden|die seite wurde nicht gefunden|diese seite existiert nicht|interner serverfehler|zugriff verweigert|zugriff nicht erlaubt|dienst nicht verfügbar|es ist ein fehler aufgetreten|wartungsarbeiten|page introuvable|cette page n existe pas|accès refusé|accès interdit|erreur interne du serveur|erreur du serveur|service indisponible|une erreur est survenue|site en maintenance|página no encontrada|pagina no encontrada|esta página no existe|acceso denegado|acceso prohibido|error interno del servidor|servicio no disponible|se ha producido un error|sitio en mantenimiento|pagina non trovata|accesso negato|errore del server|página não encontrada|acesso negado|pagina niet gevonden|toegang geweigerd
+    """,
+    "access": """
+        access denied|access is denied|access to this page has been denied|permission denied|you don t have permission to view this article|you don t have permission to view this page|you do not have permission to view this page|you don t have permission to access|you are not authorized to view this page|this content is not available in your region|this content is not available in your country
+        too many requests from your network|unusual traffic from your network|complete the check below to prove you are not a robot|prove you are not a robot|verify you are human|are you a robot|checking your browser before accessing|complete the captcha|please complete the security check
+        your session has expired|session expired|your session has timed out|please sign in again to continue reading|please sign in again|please sign in to continue|sign in to continue reading|sign in to continue|please log in to continue|log in to continue reading|subscribe to continue reading|subscribers only|your request has been blocked|request blocked|you have been blocked|your ip address has been blocked
+        ihre sitzung ist abgelaufen|bitte melden sie sich erneut an|bitte melden sie sich an|votre session a expiré|veuillez vous reconnecter|veuillez vous connecter|su sesión ha caducado|su sesión ha expirado|inicie sesión de nuevo|inicie sesión para continuar
+    """,
+    "script": """
+        please enable javascript|enable javascript|you need to enable javascript|javascript is required|javascript is disabled|javascript must be enabled|javascript required|javascript is not enabled|your browser has scripting disabled|your browser does not support javascript|your browser has javascript disabled|this site requires scripts to be turned on|this site requires javascript|this page requires javascript|this app requires javascript|turn on cookies and scripts|turn on cookies|turn on scripts|turn on javascript|please turn on javascript|please enable cookies|enable cookies|please enable scripts|please turn on scripts|enable scripts|scripts are disabled|scripts must be turned on
+        bitte aktivieren sie javascript|bitte javascript aktivieren|javascript ist deaktiviert|aktivieren sie javascript|javascript wird benötigt|veuillez activer javascript|merci d activer javascript|activez javascript|javascript est désactivé|javascript est requis|por favor active javascript|por favor habilite javascript|habilite javascript|active javascript|activa javascript|javascript está desactivado|se requiere javascript|abilita javascript|attiva javascript|ative o javascript|schakel javascript in
+    """,
+}
+
+# Words that accompany such phrases but are no evidence by themselves.
+COMPANIONS = """
+    error|errors|fehler|erreur|código|codigo|errore|erro|code|status|path|story|reference|ref|incident|ray|request|id|words|word|line|on line|ms|after|minutes|seconds|true|false|message|http|url|server|page
+    and reload|to view this page|to run this app|in order to continue|to continue|then refresh the story|then refresh the page|and refresh the page|to use this app|to use this site|to read this article|to see this page|or try a search|to continue reading|in your browser|and try again|please
+    um fortzufahren|pour continuer|para continuar|in ihrem browser|dans votre navigateur|en su navegador
+    html|head|title|body
+"""
+
+NAME = r"[A-Za-z][A-Za-z0-9]*(?:[_.-][A-Za-z0-9]+)*"
+# The notations of unfilled slots.
+SLOTS = re.compile(
+    "|".join(
+        (
+            rf"\{{\{{\{{?\s*{NAME}(?:\s*\|\s*\w+)?\s*\}}?\}}\}}",
+            rf"[$#]?\{{\s*(?:\d+:)?{NAME}\s*\}}",
+            r"\{\d+(?::[^{}\s]*)?\}",
+            rf"%\({NAME}\)[sdfr]",
+            rf"%{NAME}%",
+            rf"<%[=-]?\s*{NAME}\s*-?%>",
+            rf"<<\s*{NAME}\s*>>",
+            rf"«\s*{NAME}\s*»",
+            rf"\[\[\s*{NAME}\s*\]\]",
+            rf"@@\s*{NAME}\s*@@",
+            rf"(?<![A-Za-z0-9])__{NAME}__(?![A-Za-z0-9])",
+            rf"##\s*{NAME}\s*##",
+            rf"\[\s*(?i:insert|enter|add)\s+(?:the\s+|a\s+)?{NAME}(?:\s+{NAME}){{0,3}}\s*\]",
+            rf"\[\s*(?:{NAME}\s+){{0,3}}(?:TBD|TBC|TBA|TK|tbd|tbc|tba|tk)\s*\]",
+            r"\[\s*(?:X{2,}|x{2,}|_{2,}|\.{3}|…|\?{1,3}|#+|•+)\s*\]",
+            r"[$€£¥]\s?(?:X+(?:[.,]X+)*|_{2,}|#+(?:[.,]#+)*|\?{2,})(?![A-Za-z0-9-])",
+            r"\bQ(?:[?#X]|_+)(?![A-Za-z0-9-])|\b(?:19|20)(?:XX|__|\?\?|##)(?![A-Za-z0-9-])",
+            r"(?<![A-Za-z0-9$#-])(?:X+[.,]X+|XX+|#+[.,]#+|##+|_{3,}|\?{2,})(?=\s?(?:%|percent|per cent|million|billion|thousand)(?![A-Za-z]))",
+        )
+    )
+)
+TAGS = re.compile(r"</?(?:html|head|title|body|meta|h[1-6]|p|div|span|center|hr|br|b|i|strong|em|a|ul|li|pre|noscript|script|style)\b[^<>]*>|<!doctype[^<>]*>|<!--.*?-->", re.I | re.S)
+WORD = re.compile(r"[^\W_]+")
+FREE = re.compile(r"\d+|(?=[a-f]*\d)[0-9a-f]{4,}|[a-f]{8,}|0x[0-9a-f]+|\d+[a-z]{1,2}")
+
+
+@functools.cache
+def automaton():
+    """One automaton over all phrases, each between blanks; its value is (length, kind)."""
+    import ahocorasick
+
+    machine = ahocorasick.Automaton()
+    for kind, phrases in {"companion": COMPANIONS, **PHRASES}.items():
+        for phrase in re.split(r"[|\n]", phrases):
+            if phrase := phrase.strip():
+                machine.add_word(f" {phrase} ", (len(phrase), kind))
+    machine.make_automaton()
+    return machine
+
+
+def judge(text: str, coverage: float = COVERAGE) -> tuple[str | None, float]:
+    """The kind of residue of a text (None: content) and the covered share."""
+    if SLOTS.search(text):
+        return "slot", 1.0
+    tokens = [w for w in WORD.findall(TAGS.sub(" ", text).lower()) if not FREE.fullmatch(w)]
+    if not tokens:
+        return None, 0.0
+    line = f" {' '.join(tokens)} "
+    marked, kinds = bytearray(len(line)), {}
+    for end, (size, kind) in automaton().iter(line):
+        marked[end - size - 1 : end + 1] = b"\x01" * (size + 2)
+        kinds[kind] = kinds.get(kind, 0) + size
+    kinds.pop("companion", None)
+    share = (sum(marked[1:-1])) / (len(line) - 2)
+    if kinds and share >= coverage:
+        return max(sorted(kinds), key=kinds.get), share
+    return None, share if kinds else 0.0
+
+
+def _judged(batches: Iterator[pa.RecordBatch], coverage: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        verdict: dict[str, tuple[str | None, float]] = {}  # recurring messages are judged once
+        kinds, shares = [], []
+        for text in batch.column(1).to_pylist():
+            if (v := verdict.get(text)) is None:
+                v = verdict[text] = judge(text, coverage)
+            kinds.append(v[0])
+            shares.append(v[1])
+        keep = pa.array(np.array([k is not None for k in kinds], bool))
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), pa.array(kinds, pa.string()).filter(keep), pa.array(shares, pa.float64()).filter(keep)], ["id", "kind", "coverage"])
+
+
+def residue(df: DataFrame, id_col: str, text_col: str, *, coverage: float = COVERAGE) -> DataFrame:
+    """Rows whose text is residue: id, kind (slot, filler, error, access or script), coverage.
+
+    Null and blank texts and bare missing-value markers are never residue.  Every row is judged by
+    itself on its whole text, without a shuffle; repeated rows are all returned, other columns are
+    not read, and an empty table gives an empty result.
+    """
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null")
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(partial(_judged, coverage=coverage), f"id {kind}, kind string, coverage double")
