@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from barloom.llm import kernel as K
 from barloom.llm.neardup import _pairs_of_groups, _signed, pieces
+from barloom.operators.prefilter import maybe_in
 from barloom.session import release, written
 
 #: Different texts in one digest group from which its anchors are widened to exact windows.
@@ -28,8 +29,11 @@ GROUP = 64
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     gram = length // 2
+    seen: set[int] = set()
     for batch in batches:
         prints, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+        fresh = [k for k, p in enumerate(prints.tolist()) if p not in seen and not seen.add(p)]
+        prints, texts = prints[fresh], [texts[k] for k in fresh]
         for part in pieces(texts):
             owner, place, digest = K.anchors(texts[part], gram, length - gram + 1)
             yield pa.RecordBatch.from_arrays([pa.array(_signed(digest)), pa.array(prints[part][owner]), pa.array(place)], ["digest", "print", "place"])
@@ -131,6 +135,12 @@ def _text_print(texts: DataFrame) -> DataFrame:
     return texts.withColumn("print", F.xxhash64("text"))
 
 
+def _text_of(texts: DataFrame, members: DataFrame, classes: DataFrame) -> DataFrame:
+    """One text for each class of `classes`, beside its columns."""
+    first = classes.join(members, "print").groupBy(*classes.columns).agg(F.min("id").alias("id"))
+    return first.join(maybe_in(texts.select("id", "text"), "id", first.select("id"), "id"), "id")
+
+
 def shared_spans(df: DataFrame, id_col: str, text_col: str, *, length: int = 200, group: int = GROUP) -> Shared:
     """Runs of `length` or more consecutive identical characters that stand in two texts.
 
@@ -141,12 +151,8 @@ def shared_spans(df: DataFrame, id_col: str, text_col: str, *, length: int = 200
     spark = df.sparkSession
     texts = _text_print(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("id").isNotNull() & (F.length("text") >= length)))
     members = written(texts.select("id", "print", F.length("text").alias("n_chars")), "members")
-    first = members.groupBy("print").agg(F.min("id").alias("id"))
-    repeated = members.groupBy("print").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    extra = members.join(repeated, "print").filter("id <> first").select("id")
-    distinct = texts.join(extra, "id", "left_anti").select("print", "text")
     found = written(
-        distinct.mapInArrow(partial(_anchor_rows, length=length), "digest long, print long, place long")
+        texts.select("print", "text").mapInArrow(partial(_anchor_rows, length=length), "digest long, print long, place long")
         .repartition("digest").sortWithinPartitions("digest")
         .mapInArrow(partial(_groups, limit=group), "kind int, a long, b long"),
         "anchors",
@@ -156,12 +162,13 @@ def shared_spans(df: DataFrame, id_col: str, text_col: str, *, length: int = 200
     hot = found.filter("kind = 2")
     if not hot.isEmpty():
         places = hot.groupBy(F.col("a").alias("print")).agg(F.collect_set("b").alias("places"))
-        windows = distinct.join(places, "print").select("print", "text", "places").mapInArrow(partial(_around, length=length), "digest long, print long, place long")
+        windows = _text_of(texts, members, places).select("print", "text", "places").mapInArrow(partial(_around, length=length), "digest long, print long, place long")
         pairs = pairs.union(window_pairs(windows)).distinct()
-    bare = distinct
+    pairs = written(pairs, "pairs")
+    named = _text_of(texts, members, pairs.select(F.col("a").alias("print")).union(pairs.select("b")).distinct())
     wanted = (
-        pairs.join(bare.select(F.col("print").alias("a"), F.col("text").alias("text_a")), "a")
-        .join(bare.select(F.col("print").alias("b"), F.col("text").alias("text_b")), "b")
+        pairs.join(named.select(F.col("print").alias("a"), F.col("text").alias("text_a")), "a")
+        .join(named.select(F.col("print").alias("b"), F.col("text").alias("text_b")), "b")
         .select("a", "b", "text_a", "text_b")
     )
     spans = written(wanted.mapInArrow(partial(_checked, length=length), "print long, other long, start long, stop long"), "spans")
