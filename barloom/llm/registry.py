@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import clusters, neardup, residue, spans
+from barloom.llm import clusters, layout, mixing, neardup, packing, residue, spans, tokens
+from barloom.session import written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +66,42 @@ def p4_by_source_and_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(bars.select("source_row_number", "source"), "source_row_number").groupBy("source", "kind").agg(F.count("*").alias("n_rows"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept, members = layout.layout_duplicates(table(spark, sf_dir, "analyze_prototypes"), "event_id", "text")
+    return layout.copies(kept, members).select(F.col("kept").alias("kept_event_id"), F.col("id").alias("copy_event_id"))
+
+
+def p6_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One event per text with its number of copies; texts that stand once are listed with 1."""
+    kept, members = layout.layout_duplicates(table(spark, sf_dir, "analyze_prototypes"), "event_id", "text")
+    gone = layout.copies(kept, members).select("id")
+    counts = kept.select(F.col("kept").alias("id"), "n_copies")
+    alone = members.select("id").distinct().join(gone, "id", "left_anti").join(counts, "id", "left")
+    return alone.select(F.col("id").alias("event_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
+
+
+def _limits(spark: SparkSession, sf_dir: str) -> dict[str, int]:
+    return {r.limit_name: r.capacity_tokens for r in table(spark, sf_dir, "pack_limits").collect()}
+
+
+def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = written(tokens.token_counts(table(spark, sf_dir, "documents"), ["doc_id"], "text"), "sizes")
+    return packing.pack(sizes, _limits(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
+def p7_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fills(p7_packed(spark, sf_dir), _limits(spark, sf_dir))
+
+
+def p8_drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = written(tokens.token_counts(table(spark, sf_dir, "documents"), ["doc_id", "source"], "text"), "sizes")
+    return mixing.mix(sizes, table(spark, sf_dir, "mixture_targets")).withColumnRenamed("id", "doc_id")
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(p8_drawn(spark, sf_dir).withColumnRenamed("doc_id", "id"), table(spark, sf_dir, "mixture_targets"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     shared = spans.shared_spans(table(spark, sf_dir, "documents"), "doc_id", "text", length=200)
     return spans.sharing_pairs(shared).select(F.col("id_a").alias("doc_id_a"), F.col("id_b").alias("doc_id_b"))
@@ -80,7 +117,7 @@ def p9_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_by_split_and_source, p2_found, p2_clusters, p3_found, p3_groups, p4_found, p4_by_source_and_kind, p9_found, p9_shares, p9_repeated_lines)}
+    return {f.__name__: f for f in (p1_found, p1_by_split_and_source, p2_found, p2_clusters, p3_found, p3_groups, p4_found, p4_by_source_and_kind, p6_found, p6_kept, p7_packed, p7_fills, p8_drawn, p8_shares, p9_found, p9_shares, p9_repeated_lines)}
 
 
 def oracle_sql() -> dict[str, str]:
