@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.operators import anomalies
+from barloom.plans import catalog, market  # noqa: F401  (plans register their queries)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,8 +28,8 @@ def p5_fences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p5_found, p5_flags_by_series, p5_fences)}
+    return {**catalog.QUERIES, **{f.__name__: f for f in (p5_found, p5_flags_by_series, p5_fences)}}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(catalog.SQL)
