@@ -29,8 +29,8 @@ LOOK = 48
 #: Bytes of one step in a trie.
 STRIDE = 8
 
-FIELD = re.compile(r"[|;\r\n\x0b\x0c\x85  ]")
-HAS_FIELD = re.compile(r"[|;\r\n\x0b\x0c\x85  ]")
+FIELD = re.compile(r"[|;\r\n\x0b\x0c\x85\u2028\u2029]")
+HAS_FIELD = re.compile(r"[|;\r\n\x0b\x0c\x85\u2028\u2029]")
 
 
 def canonical(texts: list[str]) -> list[str]:
