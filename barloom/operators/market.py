@@ -145,7 +145,7 @@ def calendar_encodings(panel: DataFrame, date: str = "date") -> DataFrame:
     dow, month = F.weekday(date), F.month(date) - 1
     two_pi = 2 * math.pi
     return panel.select(
-        "*", F.sin(dow * F.lit(two_pi / 5)).alias("dow_sin"), F.cos(dow * F.lit(two_pi / 5)).alias("dow_cos"), F.sin(month * F.lit(two_pi / 12)).alias("month_sin"), F.cos(month * F.lit(two_pi / 12)).alias("month_cos"),
+        "*", F.sin(dow * F.lit(two_pi / 7)).alias("dow_sin"), F.cos(dow * F.lit(two_pi / 7)).alias("dow_cos"), F.sin(month * F.lit(two_pi / 12)).alias("month_sin"), F.cos(month * F.lit(two_pi / 12)).alias("month_cos"),
         (F.datediff(F.col(date), F.lit("2000-01-01").cast("date")) / F.lit(365.25)).alias("years"),
     )
 

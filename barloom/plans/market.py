@@ -178,7 +178,7 @@ def distribution_table(spark, sf_dir):
     return rounded(M.distribution_table(vol(spark, sf_dir), ["log_variance", "log_parkinson"], _Q), 6)
 
 
-@query("""SELECT DISTINCT feature_date AS date, round(sin((dayofweek(feature_date) + 6) % 7 * 2 * pi() / 5), 8) AS dow_sin, round(cos((dayofweek(feature_date) + 6) % 7 * 2 * pi() / 5), 8) AS dow_cos,
+@query("""SELECT DISTINCT feature_date AS date, round(sin((dayofweek(feature_date) + 6) % 7 * 2 * pi() / 7), 8) AS dow_sin, round(cos((dayofweek(feature_date) + 6) % 7 * 2 * pi() / 7), 8) AS dow_cos,
   round(sin((month(feature_date) - 1) * 2 * pi() / 12), 8) AS month_sin, round(cos((month(feature_date) - 1) * 2 * pi() / 12), 8) AS month_cos,
   round(date_diff('day', DATE '2000-01-01', feature_date) / 365.25, 8) AS years FROM split_calendar""")
 def calendar_encodings(spark, sf_dir):
