@@ -286,7 +286,7 @@ def effective_sample(spark, sf_dir):
     return out.select("n_entities", "n_dates", r("mean_correlation", 7), r("effective", 5), r("effective_capped", 5))
 
 
-@query(f"WITH {LOSS}, g AS (SELECT entity, sum(absolute_gain) AS s, count(*) AS n FROM loss WHERE split = 'test' GROUP BY entity) SELECT entity, n AS n_left_out, round(((SELECT sum(s) FROM g) - s) / nullif((SELECT sum(n) FROM g) - n, 0), 7) AS mean_without FROM g")
+@query(f"WITH {LOSS}, lg AS (SELECT entity, sum(absolute_gain) AS s, count(*) AS n FROM loss WHERE split = 'test' GROUP BY entity) SELECT entity, n AS n_left_out, round(((SELECT sum(s) FROM lg) - s) / nullif((SELECT sum(n) FROM lg) - n, 0), 7) AS mean_without FROM lg")
 def leave_one_out_recompute(spark, sf_dir):
     both = I.join_models(long(spark, sf_dir).filter("split = 'test'"), ["entity", "date", "split"], "m0", "m1")
     return rounded(I.leave_one_out(I.paired_losses(both, "y", "base", "text"), "entity", "absolute_gain"), 7)
@@ -341,7 +341,7 @@ def adjusted_rand(spark, sf_dir):
 
 
 @query(f"""WITH {ASSIGNED}, c AS (SELECT prototype, count(*) FILTER (WHERE lower(trim(split)) = 'train') AS a, count(*) FILTER (WHERE lower(trim(split)) = 'test') AS b FROM assigned JOIN analyze_prototypes USING (event_id) GROUP BY prototype),
-  p AS (SELECT a / (SELECT sum(a) FROM c) AS p, b / (SELECT sum(b) FROM c) AS q FROM c WHERE a + b > 0), j AS (SELECT greatest(0, sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2) AS d FROM p)
+  pq AS (SELECT a / (SELECT sum(a) FROM c) AS p, b / (SELECT sum(b) FROM c) AS q FROM c WHERE a + b > 0), j AS (SELECT greatest(0, sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2) AS d FROM pq)
   SELECT round(d, 8)::DOUBLE AS js_divergence, round(sqrt(d), 7) AS js_distance FROM j""")
 def js_drift(spark, sf_dir):
     both = assigned(spark, sf_dir).join(events(spark, sf_dir).select("event_id", "split"), "event_id")
