@@ -199,9 +199,9 @@ def daily_ic(df: DataFrame, keys: list[str], entity: str, date: str = "date", y:
 
 
 def summarize_ic(daily: DataFrame, keys: list[str]) -> DataFrame:
-    """Mean, median, deviation, ratio and share of positive daily correlations."""
+    """Mean, median, deviation, ratio and share of positive (above rounding noise) daily correlations."""
     v = F.col("daily_ic")
-    out = daily.filter(v.isNotNull()).groupBy(*keys).agg(F.count("*").alias("n_dates"), F.avg(v).alias("mean_ic"), F.percentile(v, F.lit(0.5)).alias("median_ic"), F.stddev_samp(v).alias("ic_std"), F.avg((v > 0).cast("double")).alias("positive_rate"))
+    out = daily.filter(v.isNotNull()).groupBy(*keys).agg(F.count("*").alias("n_dates"), F.avg(v).alias("mean_ic"), F.percentile(v, F.lit(0.5)).alias("median_ic"), F.stddev_samp(v).alias("ic_std"), F.avg((v > 1e-12).cast("double")).alias("positive_rate"))
     return out.withColumn("ic_ir", F.try_divide(F.col("mean_ic"), F.col("ic_std")))
 
 

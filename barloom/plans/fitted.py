@@ -184,7 +184,7 @@ def json_fields(spark, sf_dir):
 
 
 @query("""SELECT event_type AS entity, CAST(ts AS DATE) AS date, arg_min(value, ts) AS "open", max(value) AS high, min(value) AS low, arg_max(value, ts) AS "close", count(*) AS n_rows
-  FROM events GROUP BY ALL HAVING CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 2 DAY""")
+  FROM events WHERE CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 2 DAY GROUP BY ALL""")
 def streamed_bars(spark, sf_dir):
     """Daily bars of the event stream up to what the watermark has closed."""
     from barloom.streaming import bars as B

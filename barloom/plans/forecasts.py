@@ -198,7 +198,7 @@ def daily_ic(spark, sf_dir):
     return rounded(_ic(spark, sf_dir), 7)
 
 
-@query(f"""WITH {IC} SELECT split, model, count(*) AS n_dates, round(avg(daily_ic), 7) AS mean_ic, round(quantile_cont(daily_ic, 0.5), 7) AS median_ic, round(stddev_samp(daily_ic), 7) AS ic_std, round(avg(CAST(daily_ic > 0 AS INT)), 7) AS positive_rate,
+@query(f"""WITH {IC} SELECT split, model, count(*) AS n_dates, round(avg(daily_ic), 7) AS mean_ic, round(quantile_cont(daily_ic, 0.5), 7) AS median_ic, round(stddev_samp(daily_ic), 7) AS ic_std, round(avg(CAST(daily_ic > 1e-12 AS INT)), 7) AS positive_rate,
   round(avg(daily_ic) / nullif(stddev_samp(daily_ic), 0), 7) AS ic_ir FROM ic WHERE daily_ic IS NOT NULL GROUP BY split, model""")
 def daily_ic_summary(spark, sf_dir):
     return rounded(K.summarize_ic(_ic(spark, sf_dir), ["split", "model"]), 7)
