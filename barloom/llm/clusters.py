@@ -408,7 +408,7 @@ def describe(clusters: Clusters, top: int = 3) -> DataFrame:
         return F.aggregate(F.zip_with(x, y, lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, t: s + t)
 
     near = rows.join(means.join(sizes, "first_id"), "first_id")
-    score = F.round(dot(F.col("v"), F.col("mean")) / F.sqrt(dot(F.col("v"), F.col("v")) * dot(F.col("mean"), F.col("mean"))), 6)
+    score = F.round(dot(F.col("v"), F.col("mean")) / F.sqrt(dot(F.col("v"), F.col("v")) * dot(F.col("mean"), F.col("mean"))), 9)
     scored = near.select("first_id", "n_members", "id", score.alias("cosine"))
     best = scored.groupBy("first_id", "n_members", F.pmod(F.xxhash64("id"), F.lit(64)).alias("salt")).agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.col("cosine")).alias("d"), "id"))), 1, top).alias("t"))
     return best.groupBy("first_id", "n_members").agg(F.slice(F.array_sort(F.flatten(F.collect_list("t"))), 1, top).alias("t")).select(

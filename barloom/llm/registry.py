@@ -120,5 +120,46 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p1_found, p1_by_split_and_source, p2_found, p2_clusters, p3_found, p3_groups, p4_found, p4_by_source_and_kind, p6_found, p6_kept, p7_packed, p7_fills, p8_drawn, p8_shares, p9_found, p9_shares, p9_repeated_lines)}
 
 
+# The words of a text: runs of letters and digits, and a point or comma directly between two digits.
+WORDS = r"[\p{L}\p{N}]*\p{Nd}(?:[.,]\p{Nd}(?:[\p{L}\p{N}]*\p{Nd})?)*[\p{L}\p{N}]*|[\p{L}\p{N}]+"
+
+
+def _words(of: str) -> str:
+    return f"regexp_extract_all(lower({of}), '{WORDS}')"
+
+
+GRAMS = f"""t AS (SELECT event_id, lower(trim(split)) AS split, {_words('text')} AS w FROM analyze_prototypes WHERE text IS NOT NULL),
+g AS (SELECT DISTINCT event_id, split, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ') ELSE concat_ws(' ', w[i], w[i + 1], w[i + 2]) END AS s
+  FROM (SELECT *, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM t WHERE len(w) > 0)),
+n AS (SELECT event_id, count(*) AS n FROM g GROUP BY event_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    near = "JOIN n na ON na.event_id = x JOIN n nb ON nb.event_id = y WHERE 10 * c >= 6 * (na.n + nb.n - c)"
+    p1 = f"""WITH {GRAMS}, pr AS (SELECT a.event_id AS x, b.event_id AS y, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.split IN ('validation', 'test') AND b.split = 'train' GROUP BY ALL),
+      found AS (SELECT DISTINCT x AS event_id FROM pr {near})"""
+    parts = f"list_filter(string_split_regex(text, '[|;\\r\\n\\x0b\\x0c\\x{{85}}\\x{{2028}}\\x{{2029}}]'), lambda x: len({_words('x')}) > 0)"
+    p6 = f"""WITH p AS (SELECT event_id, text, {parts} AS parts FROM analyze_prototypes WHERE text IS NOT NULL),
+      f AS (SELECT *, len(parts) > 1 AND len(list_filter(parts, lambda x: contains(x, ':') AND len({_words("split_part(x, ':', 1)")}) > 0)) = len(parts) AS fields FROM p),
+      c AS (SELECT event_id, CASE WHEN fields THEN array_to_string(list_sort(list_transform(parts, lambda x: array_to_string({_words('x')}, ' '))), '|') ELSE array_to_string({_words('text')}, ' ') END AS canon FROM f),
+      k AS (SELECT *, min(event_id) OVER (PARTITION BY canon) AS kept, count(*) OVER (PARTITION BY canon) AS n_copies FROM c WHERE canon <> '')"""
+    p9 = """WITH w AS (SELECT DISTINCT doc_id, hash(substr(text, i, 200)) AS h FROM (SELECT doc_id, text, unnest(range(1, len(text) - 198)) AS i FROM documents WHERE len(text) >= 200))"""
+    return {
+        "p1_found": f"{p1} SELECT event_id FROM found",
+        "p1_by_split_and_source": f"""{p1} SELECT lower(trim(split)) AS split, source, count(*) AS n_events, count(found.event_id) AS n_overlapping
+          FROM analyze_prototypes LEFT JOIN found USING (event_id) WHERE lower(trim(split)) IN ('validation', 'test') GROUP BY ALL""",
+        "p2_found": """WITH RECURSIVE v AS (SELECT DISTINCT event_id, embedding::DOUBLE[] AS e FROM event_vectors WHERE embedding IS NOT NULL AND list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0),
+          e AS (SELECT a.event_id AS x, b.event_id AS y FROM v a JOIN v b ON a.event_id <> b.event_id AND list_cosine_similarity(a.e, b.e) >= 0.7),
+          cc(x, y) AS (SELECT event_id, event_id FROM v UNION SELECT cc.x, e.y FROM cc JOIN e ON cc.y = e.x)
+          SELECT min(y) AS first_event_id, x AS event_id FROM cc GROUP BY x HAVING min(y) <> x""",
+        "p3_found": f"WITH {GRAMS}, pr AS (SELECT a.event_id AS x, b.event_id AS y, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.event_id < b.event_id GROUP BY ALL) SELECT x AS event_id_a, y AS event_id_b FROM pr {near}",
+        "p6_found": f"{p6} SELECT kept AS kept_event_id, event_id AS copy_event_id FROM k WHERE event_id <> kept",
+        "p6_kept": f"{p6} SELECT event_id, n_copies FROM k WHERE event_id = kept",
+        "p9_found": f"{p9} SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM w a JOIN w b ON a.h = b.h AND a.doc_id < b.doc_id",
+        "p9_shares": """WITH o AS (SELECT doc_id, i, hash(substr(text, i, 200)) AS h FROM (SELECT doc_id, text, unnest(range(1, len(text) - 198)) AS i FROM documents WHERE len(text) >= 200)),
+          s AS (SELECT h FROM (SELECT DISTINCT doc_id, h FROM o) GROUP BY h HAVING count(*) > 1),
+          iv AS (SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS gap FROM o SEMI JOIN s USING (h)),
+          c AS (SELECT doc_id, sum(least(coalesce(gap, 200), 200)) AS covered FROM iv GROUP BY doc_id),
+          d AS (SELECT doc_id, len(text) AS n_chars, count(*) OVER (PARTITION BY text) AS n_copies FROM documents WHERE len(text) >= 200)
+          SELECT doc_id, n_chars, coalesce(covered, 0)::BIGINT AS shared_chars, n_copies, coalesce(covered, 0) / n_chars AS shared_share FROM d LEFT JOIN c USING (doc_id)""",
+    }
