@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from functools import partial
 
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions import expr as X
 from barloom.operators.components import connected_components
-from barloom.session import written
+from barloom.session import spread, written
 
 # The news levels, and the pattern of a ticker mentioned in a text.
 LEVELS = ("macro", "sector", "related", "target")
@@ -121,50 +120,90 @@ def dedup_summary(occ: DataFrame, events: DataFrame) -> DataFrame:
 # -- near deduplication inside blocks ------------------------------------------------------------
 
 
-def _gram_weights(text: str, features: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed 3- to 5-grams inside word bounds, as an L2-normalised sparse vector (sorted ids)."""
-    import zlib
+_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
-    counts: dict[int, int] = {}
-    for word in text.lower().split():
-        padded = f" {word} "
-        for n in (3, 4, 5):
-            if len(padded) <= n:
-                g = zlib.crc32(padded.encode()) % features
-                counts[g] = counts.get(g, 0) + 1
-                break
-            for k in range(len(padded) - n + 1):
-                g = zlib.crc32(padded[k : k + n].encode()) % features
-                counts[g] = counts.get(g, 0) + 1
-    ids = np.array(sorted(counts), np.int64)
-    weight = np.array([counts[i] for i in ids.tolist()], float)
-    return ids, weight / max(math.sqrt(float((weight**2).sum())), 1e-12)
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * _A
+    x = (x ^ (x >> np.uint64(29))) * _B
+    return x ^ (x >> np.uint64(32))
 
-def _prefixes(batches: Iterator[pa.RecordBatch], threshold: float, common: dict[int, int]) -> Iterator[pa.RecordBatch]:
+
+def gram_vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Grams of 3 to 5 characters inside blank-padded words, as L2-normalised sparse vectors.
+
+    Returns (gram hashes sorted per text, weights, offsets of the texts).  A padded word no longer than
+    n is one gram and is not cut further.  All texts of a batch are cut at once.
+    """
+    words = [t.lower().split() for t in texts]
+    flat = [f" {w} " for ws in words for w in ws]
+    of_word = np.repeat(np.arange(len(texts)), [len(ws) for ws in words])
+    codes = np.frombuffer("".join(flat).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    size = np.fromiter(map(len, flat), np.int64, len(flat))
+    start = np.cumsum(size) - size
+    place = np.arange(len(codes)) - np.repeat(start, size)
+    left = np.repeat(size, size) - place  # characters from here to the end of the padded word
+    owner = np.repeat(of_word, size)
+    value, text = [], []
+    for n in (3, 4, 5):
+        at = np.flatnonzero((left >= n) & (np.repeat(size, size) > n) | (place == 0) & (np.repeat(size, size) == n))
+        h = np.full(len(at), n, np.uint64)
+        for k in range(n):
+            h = _mixed(h + codes[at + k])
+        value.append(h)
+        text.append(owner[at])
+    # one plain sort of (text number, hash) packed into a word; hashes keep 44 bits
+    packed = np.sort((np.concatenate(text).astype(np.uint64) << np.uint64(44)) | (np.concatenate(value) >> np.uint64(20)))
+    first = np.flatnonzero(np.concatenate([[True], packed[1:] != packed[:-1]])) if len(packed) else np.empty(0, np.int64)
+    count = np.diff(np.append(first, len(packed))).astype(float)
+    gram, of = (packed[first] & np.uint64((1 << 44) - 1)).astype(np.int64), (packed[first] >> np.uint64(44)).astype(np.int64)
+    norm = np.sqrt(np.bincount(of, count**2, minlength=len(texts)))
+    return gram, count / np.maximum(norm[of], 1e-12), np.searchsorted(of, np.arange(len(texts) + 1))
+
+
+def _parts(sizes: list[int], limit: int = 400_000) -> Iterator[slice]:
+    begin = held = 0
+    for k, n in enumerate(sizes):
+        if held and held + n > limit:
+            yield slice(begin, k)
+            begin, held = k, 0
+        held += n + 1
+    if begin < len(sizes):
+        yield slice(begin, len(sizes))
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], threshold: float, grams: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Only the rarest grams of a text can be missed by none of its near duplicates: the rest of the
     vector is too short to reach the threshold by itself."""
     for batch in batches:
-        key, grams, of = batch.column(0), [], []
-        for k, text in enumerate(batch.column(2).to_pylist()):
-            ids, weight = _gram_weights(text)
-            order = sorted(range(len(ids)), key=lambda j: (common.get(int(ids[j]), 0), int(ids[j])))
-            tail = np.sqrt(np.cumsum((weight[order] ** 2)[::-1])[::-1]) if len(ids) else np.empty(0)
-            kept = int((tail >= threshold - 1e-9).sum())
-            grams += ids[order[:kept]].tolist()
-            of += [k] * kept
-        at = pa.array(of, pa.int64())
-        yield pa.RecordBatch.from_arrays([key.take(at), batch.column(1).take(at), pa.array(grams, pa.int64())], ["id", "block", "gram"])
+        texts = batch.column(2).to_pylist()
+        for part in _parts([len(t) for t in texts]):
+            gram, weight, bounds = gram_vectors(texts[part])
+            of = np.repeat(np.arange(part.stop - part.start), np.diff(bounds))
+            seen = np.minimum(np.searchsorted(grams, gram), max(len(grams) - 1, 0))
+            common = np.where(grams[seen] == gram, counts[seen], 0) if len(grams) else np.zeros(len(gram), np.int64)
+            key = (of.astype(np.uint64) << np.uint64(44)) | (np.minimum(common, 4095).astype(np.uint64) << np.uint64(32)) | np.arange(len(of), dtype=np.uint64)
+            order = (np.sort(key) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            gram, of, square = gram[order], of[order], weight[order] ** 2
+            before = np.cumsum(square) - square
+            tail = 1 - (before - np.repeat(before[bounds[:-1][np.diff(bounds) > 0]], np.diff(bounds)[np.diff(bounds) > 0]))
+            keep = tail >= threshold**2 - 1e-9
+            at = pa.array(of[keep] + part.start)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(gram[keep])], ["id", "block", "gram"])
 
 
 def _cosines(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keep = []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            (a, v), (b, w) = _gram_weights(x), _gram_weights(y)
-            _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-            keep.append(bool(v[i] @ w[j] >= threshold))
-        yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+        a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+        for part in _parts([len(x) + len(y) for x, y in zip(a, b)]):
+            n = part.stop - part.start
+            gram, weight, bounds = gram_vectors(a[part] + b[part])
+            pair = np.repeat(np.arange(2 * n) % n, np.diff(bounds))
+            order = np.argsort((pair.astype(np.uint64) << np.uint64(44)) | gram.astype(np.uint64), kind="stable")
+            gram, pair, weight = gram[order], pair[order], weight[order]
+            twice = np.flatnonzero((gram[1:] == gram[:-1]) & (pair[1:] == pair[:-1]))
+            cosine = np.bincount(pair[twice], weight[twice] * weight[twice + 1], minlength=n)
+            yield batch.select([0, 1]).slice(part.start, n).filter(pa.array(cosine >= threshold - 1e-12))
 
 
 def near_links(events: DataFrame, block: list[str], *, id_col: str = "event_id", text_col: str = "text", threshold: float = 0.95, sample: int = 2_000) -> DataFrame:
@@ -174,12 +213,11 @@ def near_links(events: DataFrame, block: list[str], *, id_col: str = "event_id",
     so changes the cost, not the result.
     """
     texts = events.select(F.col(id_col).alias("id"), F.xxhash64(*block).alias("block"), F.col(text_col).alias("text")).filter("id is not null and text is not null")
-    common: dict[int, int] = {}
-    for row in texts.filter(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(16)) == 0).limit(sample).collect():
-        for g in _gram_weights(row.text)[0].tolist():
-            common[g] = common.get(g, 0) + 1
-    common = {g: n for g, n in common.items() if n > 2}
-    prefix = texts.mapInArrow(partial(_prefixes, threshold=threshold, common=common), "id string, block long, gram long")
+    texts = spread(texts)
+    drawn = [r.text for r in texts.filter(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(16)) == 0).limit(sample).collect()]
+    grams, counts = np.unique(gram_vectors(drawn)[0] if drawn else np.empty(0, np.int64), return_counts=True)
+    grams, counts = grams[counts > 2], counts[counts > 2]
+    prefix = texts.mapInArrow(partial(_prefixes, threshold=threshold, grams=grams, counts=counts), "id string, block long, gram long")
     left, right = prefix.withColumnRenamed("id", "a"), prefix.withColumnRenamed("id", "b")
     pairs = left.join(right, ["block", "gram"]).filter("a < b").select("a", "b").distinct()
     bare = texts.select("id", "text")

@@ -70,3 +70,14 @@ def release(spark: SparkSession) -> None:
 def hot_keys(counts: DataFrame, key: str, count: str, total: int) -> DataFrame:
     """Keys so frequent that one task should not hold them: at most HOT_KEYS by construction."""
     return counts.filter(F.col(count) >= F.lit(max(HOT_ROWS, -(-total // HOT_KEYS)))).select(key)
+
+
+def spread(df: DataFrame, small: int = 32 << 20) -> DataFrame:
+    """A table of one small file is one task, whatever it costs per row: deal its rows to all cores.
+
+    Tables of several files, or of a size that Spark splits by itself, stay as they are.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan()
+    if len(df.inputFiles()) == 1 and int(str(plan.stats().sizeInBytes())) <= small:
+        return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    return df
