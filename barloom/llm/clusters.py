@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.operators.components import connected_components
-from barloom.session import release, written
+from barloom.session import release, spread, written
 
 #: Rows of the sample that pivots are fitted on, and the most pivots kept (bounds of the model).
 SAMPLE = 12_000
@@ -334,7 +334,7 @@ def vector_clusters(df: DataFrame, id_col: str, vec_col: str, *, threshold: floa
     x, _ = unit_rows(drawn.column("v").combine_chunks() if drawn.num_rows else pa.array([], pa.list_(pa.float32())))
     model = fit(x, threshold, pivots)
     width = model.axes.shape[1]
-    assigned = written(vectors.mapInArrow(partial(_assign, model=model), ASSIGNED), "assigned")
+    assigned = written(spread(vectors).mapInArrow(partial(_assign, model=model), ASSIGNED), "assigned")
     links = [assigned.filter("kind = 1").select(F.col("node").alias("a"), F.col("other").alias("b"))]
 
     visits = assigned.filter("kind = 2").select(F.col("node").alias("cell"), F.col("other").alias("node"), "vec")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from barloom.llm import kernel as K
 from barloom.llm.neardup import pieces
-from barloom.session import HOT_KEYS, HOT_ROWS, release, written
+from barloom.session import HOT_KEYS, HOT_ROWS, release, spread, written
 
 #: Different texts in one radix bucket from which it is split further, and the bytes looked at in one
 #: round to find a bucket's common prefix.
@@ -214,7 +214,7 @@ def layout_duplicates(df: DataFrame, id_col: str, text_col: str, *, bucket: int
     """
     spark = df.sparkSession
     texts = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null")
-    rows = written(texts.mapInArrow(_forms, "kind int, id string, digest binary, form binary, n long"), "forms")
+    rows = written(spread(texts).mapInArrow(_forms, "kind int, id string, digest binary, form binary, n long"), "forms")
     forms = rows.filter("kind = 1").select("form", "id", "n")
     members = rows.filter("kind = 0").select("id", "digest")
     leaves = radix_leaves(forms, max(forms.count(), 1), bucket)

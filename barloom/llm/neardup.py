@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from barloom.llm import kernel as K
 from barloom.operators.prefilter import maybe_in
-from barloom.session import release, written
+from barloom.session import release, spread, written
 
 #: Characters that one call of the kernels works on.
 CHARS = 1_500_000
@@ -258,7 +258,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, *, width: int = 5
     texts = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), side.alias("side")).filter("id is not null and text is not null")
     if side_col:
         texts = texts.filter("side > 0")
-    keyed = texts.select("id", "text", "side").mapInArrow(partial(_rows_of, width=width, rows=rows, bands=bands), ROWS)
+    keyed = spread(texts.select("id", "text", "side")).mapInArrow(partial(_rows_of, width=width, rows=rows, bands=bands), ROWS)
     found = written(
         keyed.repartition("key").sortWithinPartitions("key").mapInArrow(partial(_buckets, sided=bool(side_col), limit=bucket), FOUND).select("kind", "a", "b", "side", "id", "sketch"),
         "buckets",

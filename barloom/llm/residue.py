@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barloom.session import spread
+
 #: Share of a text's characters (numbers and identifiers aside) that phrases must cover.
 COVERAGE = 0.75
 
@@ -149,4 +151,4 @@ def residue(df: DataFrame, id_col: str, text_col: str, *, coverage: float = COVE
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null")
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(partial(_judged, coverage=coverage), f"id {kind}, kind string, coverage double")
+    return spread(rows).mapInArrow(partial(_judged, coverage=coverage), f"id {kind}, kind string, coverage double")

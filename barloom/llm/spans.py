@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from barloom.llm import kernel as K
 from barloom.llm.neardup import _pairs_of_groups, _signed, pieces
 from barloom.operators.prefilter import maybe_in
-from barloom.session import release, written
+from barloom.session import release, spread, written
 
 #: Different texts in one digest group from which its anchors are widened to exact windows.
 GROUP = 64
@@ -152,7 +152,7 @@ def shared_spans(df: DataFrame, id_col: str, text_col: str, *, length: int = 200
     texts = _text_print(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("id").isNotNull() & (F.length("text") >= length)))
     members = written(texts.select("id", "print", F.length("text").alias("n_chars")), "members")
     found = written(
-        texts.select("print", "text").mapInArrow(partial(_anchor_rows, length=length), "digest long, print long, place long")
+        spread(texts.select("print", "text")).mapInArrow(partial(_anchor_rows, length=length), "digest long, print long, place long")
         .repartition("digest").sortWithinPartitions("digest")
         .mapInArrow(partial(_groups, limit=group), "kind int, a long, b long"),
         "anchors",

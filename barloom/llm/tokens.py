@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barloom.session import spread
+
 #: Where the vocabulary lies on every executor (a parameter of the operators, never copied).
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the published pattern that splits text before the merges of this vocabulary.
@@ -37,4 +39,4 @@ def token_counts(df: DataFrame, keys: list[str], text_col: str, path: str = VOCA
     """The columns `keys` and n_tokens of every row; rows with a null text are left out."""
     rows = df.select(*keys, F.col(text_col).alias("__text")).filter(F.col("__text").isNotNull())
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(partial(_counts, path=path), f"{kinds}, n_tokens long")
+    return spread(rows).mapInArrow(partial(_counts, path=path), f"{kinds}, n_tokens long")
