@@ -179,6 +179,89 @@ def fit_ridge(df: DataFrame, features: list[str], target: str, alpha: float, sta
     return Linear(features, float(mean[d] - mean[:d] @ w), w)
 
 
+def fit_elastic_net(df: DataFrame, features: list[str], target: str, alpha: float, l1_ratio: float, rounds: int = 2_000) -> Linear:
+    """(1 / 2n) |y - Xw|^2 + alpha (l1_ratio |w| + (1 - l1_ratio) / 2 |w|^2) on centred, population-scaled
+    features, by coordinate descent on the moment matrix (the rows are read once)."""
+    d = len(features)
+    m = moments(column_vector(df.select(*features, target), [*features, target]), "__x", d + 1)
+    n = max(m[0, 0], 1.0)
+    mean = m[0, 1:] / n
+    cov = m[1:, 1:] / n - np.outer(mean, mean)
+    scale = np.sqrt(np.maximum(np.diag(cov)[:d], 0))
+    live = scale > 1e-12
+    scale = np.where(live, scale, 1.0)
+    q, b, w = cov[:d, :d] / np.outer(scale, scale), cov[:d, d] / scale, np.zeros(d)
+    for _ in range(rounds):
+        before = w.copy()
+        for j in np.flatnonzero(live):
+            rest = b[j] - q[j] @ w + q[j, j] * w[j]
+            w[j] = np.sign(rest) * max(abs(rest) - alpha * l1_ratio, 0) / (q[j, j] + alpha * (1 - l1_ratio))
+        if np.abs(w - before).max() < 1e-12:
+            break
+    w = w / scale
+    return Linear(features, float(mean[d] - mean[:d] @ w), w)
+
+
+@dataclass(frozen=True)
+class Prepared:
+    """How columns become features: medians, means and deviations of train, and the categories."""
+
+    numeric: dict[str, tuple[float, float, float]]
+    indicators: list[str]
+    categories: dict[str, list[str]]
+
+    @property
+    def names(self) -> list[str]:
+        return [*(f"z__{c}" for c in self.numeric), *(f"missing__{c}" for c in self.indicators), *(f"is__{c}__{k}" for c, v in self.categories.items() for k in range(len(v)))]
+
+
+def fit_preparation(train: DataFrame, numeric: list[str], categorical: list[str], most: int = 1_000) -> Prepared:
+    """Medians for missing numbers, an indicator where train has missing ones, population scaling after
+    filling, one column per train category.  More than `most` categories are an error: they would not
+    be a bounded model."""
+    mid = train.agg(*(F.percentile(c, F.lit(0.5)).alias(c) for c in numeric), *(F.count_if(F.col(c).isNull()).alias(f"__m_{c}") for c in numeric)).first() if numeric else None
+    filled = {c: F.coalesce(F.col(c).cast("double"), F.lit(float(mid[c] if mid[c] is not None else 0.0))) for c in numeric}
+    stat = train.agg(*(F.avg(v).alias(f"a_{c}") for c, v in filled.items()), *(F.stddev_pop(v).alias(f"s_{c}") for c, v in filled.items())).first() if numeric else None
+    categories = {}
+    for c in categorical:
+        found = [r[0] for r in train.select(c).filter(F.col(c).isNotNull()).distinct().limit(most + 1).collect()]
+        if len(found) > most:
+            raise ValueError(f"{c} has more than {most} categories")
+        categories[c] = sorted(found)
+    return Prepared({c: (float(mid[c] or 0.0), float(stat[f"a_{c}"] or 0.0), float(stat[f"s_{c}"] or 0.0) or 1.0) for c in numeric}, [c for c in numeric if mid[f"__m_{c}"]], categories)
+
+
+def prepare(df: DataFrame, how: Prepared) -> DataFrame:
+    """Adds the prepared columns; categories that train lacked have zeros everywhere."""
+    out = {f"z__{c}": (F.coalesce(F.col(c).cast("double"), F.lit(m)) - F.lit(a)) / F.lit(s) for c, (m, a, s) in how.numeric.items()}
+    out |= {f"missing__{c}": F.col(c).isNull().cast("double") for c in how.indicators}
+    out |= {f"is__{c}__{k}": F.coalesce((F.col(c) == F.lit(v)).cast("double"), F.lit(0.0)) for c, vs in how.categories.items() for k, v in enumerate(vs)}
+    return df.withColumns(out)
+
+
+def fit_multinomial(df: DataFrame, features: list[str], label: str, c: float = 1.0):
+    """Multinomial logistic regression of Spark's own library with penalty 1 / (c n)."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
+    rows = column_vector(df, features).select(array_to_vector("__x").alias("features"), F.col(label).cast("double").alias("label")).filter("label is not null")
+    n = max(rows.count(), 1)
+    return LogisticRegression(family="multinomial", regParam=1 / (c * n), standardization=False, maxIter=200, tol=1e-9).fit(rows)
+
+
+def choose_strength(prefix: DataFrame, tail: DataFrame, features: list[str], label: str, grid: tuple[float, ...]) -> float:
+    """The penalty whose fit on the earlier window has the least log loss on the later one, ties to the
+    stronger penalty."""
+    best = (float("inf"), grid[0])
+    for c in sorted(grid):
+        p = F.greatest(F.least(F.col("probability"), F.lit(1 - 1e-12)), F.lit(1e-12))
+        y = F.col(label).cast("double")
+        loss = predict_probability(tail, fit_logistic(prefix, features, label, c)).agg(F.avg(-(y * F.ln(p) + (1 - y) * F.ln(1 - p)))).first()[0]
+        if loss is not None and loss < best[0] - 1e-12:
+            best = (loss, c)
+    return best[1]
+
+
 def predict_linear(df: DataFrame, model: Linear, name: str = "prediction"):
     """A plain sum of products: null where a feature is null."""
     total = F.lit(model.intercept)

@@ -16,14 +16,14 @@ def running(df: DataFrame, keys: list[str], value: str, sums: dict[str, object],
     """One row per (keys, value): every sum (its name), and `before_<name>`, its total over all strictly
     earlier values of the group.  Null values are left out; NaN counts as the largest value."""
     own = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(*(F.sum(c).alias(n) for n, c in sums.items()))
-    cuts = own.agg(F.percentile_approx(value, F.array(*(F.lit((i + 1) / buckets) for i in range(buckets - 1))), F.lit(1000)).alias("__cuts"))
-    cut = own.crossJoin(F.broadcast(cuts)).withColumn("__b", F.size(F.filter("__cuts", lambda c: c < F.col(value)))).drop("__cuts")
+    cuts = own.agg(F.percentile_approx(value, F.array(*(F.lit((i + 1) / buckets) for i in range(buckets - 1))), F.lit(1000)).alias("__prefix_cuts"))
+    cut = own.crossJoin(F.broadcast(cuts)).withColumn("__prefix_bucket", F.size(F.filter("__prefix_cuts", lambda c: c < F.col(value)))).drop("__prefix_cuts")
     order = F.col(value).desc() if descending else F.col(value).asc()
-    inner = Window.partitionBy(*keys, "__b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    step = F.col("__b").desc() if descending else F.col("__b").asc()
+    inner = Window.partitionBy(*keys, "__prefix_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    step = F.col("__prefix_bucket").desc() if descending else F.col("__prefix_bucket").asc()
     outer = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
-    blocks = cut.groupBy(*keys, "__b").agg(*(F.sum(n).alias(f"__t_{n}") for n in sums)).select(*keys, "__b", *(F.coalesce(F.sum(f"__t_{n}").over(outer), F.lit(0)).alias(f"__o_{n}") for n in sums))
-    out = cut.select("*", *(F.coalesce(F.sum(n).over(inner), F.lit(0)).alias(f"__i_{n}") for n in sums)).join(blocks, [*keys, "__b"])
+    blocks = cut.groupBy(*keys, "__prefix_bucket").agg(*(F.sum(n).alias(f"__t_{n}") for n in sums)).select(*keys, "__prefix_bucket", *(F.coalesce(F.sum(f"__t_{n}").over(outer), F.lit(0)).alias(f"__o_{n}") for n in sums))
+    out = cut.select("*", *(F.coalesce(F.sum(n).over(inner), F.lit(0)).alias(f"__i_{n}") for n in sums)).join(blocks, [*keys, "__prefix_bucket"])
     return out.select(*keys, value, *sums, *((F.col(f"__i_{n}") + F.col(f"__o_{n}")).alias(f"before_{n}") for n in sums))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions import expr as X
 from barloom.functions import stats
-from barloom.operators import anomalies, compare, events, inference, market, metrics, models, pooling
+from barloom.operators import anomalies, compare, events, inference, market, metrics, models, pooling, representations
 from barloom.operators.components import connected_components
 from barloom.operators.prefilter import maybe_in
 from barloom.operators.prefix import running, with_ranks
@@ -406,3 +406,68 @@ def test_stream_equals_batch(spark, tmp_path):
     whole = {r.start: r for r in B.windowed_bars(df, "kind", "ts", "value").collect()}
     seen = live.collect()
     assert seen and all(whole[r.start] == r for r in seen) and len(seen) < len(whole)
+
+
+def test_permutation_keeps_the_values_of_a_group(spark):
+    rows = [("g" if i % 3 else "h", f"e{i}", i) for i in range(200)] + [("g", None, 1)]
+    df = spark.createDataFrame(rows, "g string, e string, v int")
+    out = representations.permuted(df, ["g"], "e", "v", 1).collect()
+    for g in "gh":
+        assert sorted(r.permuted for r in out if r.g == g) == sorted(v for k, e, v in rows if k == g and e)
+    assert any(f"e{r.permuted}" != r.e for r in out)
+
+
+def test_random_labels_follow_the_shares(spark):
+    df = spark.range(5000).withColumnRenamed("id", "e")
+    train = spark.createDataFrame([(1,)] * 3 + [(2,), (None,)], "label int")
+    counts = {r.placebo: r["count"] for r in representations.random_labels(df, train, "e", "label", 3).groupBy("placebo").count().collect()}
+    assert sum(counts.values()) == 5000 and abs(counts[1] / 5000 - 0.75) < 0.03
+
+
+def test_cluster_quality_matches_pairs(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(60, 4)) + np.repeat(np.eye(4)[:3] * 4, 20, axis=0)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    label = np.repeat([0, 1, 2], 20)
+    df = spark.createDataFrame([(int(k), list(map(float, v))) for k, v in zip(label, x)] + [(0, None), (None, [1.0] * 4)], "label int, v array<double>")
+    out = {r.label: r for r in representations.cluster_quality(df, "label", "v", 4).collect()}
+    d = 1 - u @ u.T
+    for k in range(3):
+        own = np.flatnonzero(label == k)
+        s = []
+        for i in own:
+            a = d[i, own].sum() / (len(own) - 1)
+            b = min(d[i, label == j].mean() for j in range(3) if j != k)
+            s.append((b - a) / max(a, b))
+        assert out[k].silhouette == pytest.approx(np.mean(s)) and out[k].n == 20
+        c = u[own].mean(0)
+        assert out[k].scatter == pytest.approx(np.linalg.norm(u[own] - c, axis=1).mean())
+
+
+def test_keep_one_first_and_last(spark):
+    df = spark.createDataFrame([("a", 2, "x"), ("a", 1, None), ("a", 3, "z"), (None, 5, "n"), ("b", None, "q")], "k string, o int, v string")
+    first = {r.k: (r.o, r.v) for r in representations.keep_one(df, ["k"], "o").collect()}
+    last = {r.k: (r.o, r.v) for r in representations.keep_one(df, ["k"], "o", last=True).collect()}
+    assert first == {"a": (1, None), None: (5, "n")} and last["a"] == (3, "z")
+
+
+def test_elastic_net_optimality(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(150, 3))
+    y = x @ [2, 0, -1] + rng.normal(0, 0.1, 150)
+    df = spark.createDataFrame([(*map(float, a), float(b)) for a, b in zip(x, y)], "a double, b double, c double, y double")
+    m = models.fit_elastic_net(df, ["a", "b", "c"], "y", 0.3, 0.5)
+    z = (x - x.mean(0)) / x.std(0)
+    w = m.weights * x.std(0)
+    g = z.T @ (y - y.mean() - z @ w) / 150 - 0.15 * w
+    assert np.all(np.where(w != 0, np.abs(g - 0.15 * np.sign(w)) < 1e-8, np.abs(g) <= 0.15 + 1e-8))
+
+
+def test_preparation(spark):
+    df = spark.createDataFrame([(1.0, "x"), (None, "y"), (3.0, "x"), (5.0, None)], "v double, k string")
+    how = models.fit_preparation(df, ["v"], ["k"])
+    out = models.prepare(df.union(spark.createDataFrame([(None, "new")], "v double, k string")), how).collect()
+    assert how.categories == {"k": ["x", "y"]} and how.names == ["z__v", "missing__v", "is__k__0", "is__k__1"]
+    assert sum(r["z__v"] for r in out[:4]) == pytest.approx(0) and out[4]["is__k__0"] == out[4]["is__k__1"] == 0 and out[4]["missing__v"] == 1
+    with pytest.raises(ValueError):
+        models.fit_preparation(df, [], ["k"], most=1)
