@@ -128,8 +128,9 @@ def is_placeholder(c: Column | str) -> Column:
 
 
 def sorted_union(c: Column) -> Column:
-    """Aggregate: sorted distinct elements of an array column, nulls dropped."""
-    return F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.filter(c, lambda v: v.isNotNull())))))
+    """Aggregate: sorted distinct elements of an array column, nulls dropped.  Equal arrays are kept once
+    while aggregating, so a group of many equal rows stays small."""
+    return F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.array_sort(F.filter(c, lambda v: v.isNotNull()))))))
 
 
 def average_rank(partition: list[str], value: str, descending: bool = False) -> Column:
