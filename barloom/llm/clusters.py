@@ -18,7 +18,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.operators.components import connected_components
@@ -410,7 +410,9 @@ def describe(clusters: Clusters, top: int = 3) -> DataFrame:
     near = rows.join(means.join(sizes, "first_id"), "first_id")
     score = F.round(dot(F.col("v"), F.col("mean")) / F.sqrt(dot(F.col("v"), F.col("v")) * dot(F.col("mean"), F.col("mean"))), 9)
     scored = near.select("first_id", "n_members", "id", score.alias("cosine"))
-    best = scored.groupBy("first_id", "n_members", F.pmod(F.xxhash64("id"), F.lit(64)).alias("salt")).agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.col("cosine")).alias("d"), "id"))), 1, top).alias("t"))
-    return best.groupBy("first_id", "n_members").agg(F.slice(F.array_sort(F.flatten(F.collect_list("t"))), 1, top).alias("t")).select(
-        "first_id", "n_members", F.transform("t", lambda s: s["id"]).alias("typical_ids"), F.transform("t", lambda s: -s["d"]).alias("typical_cosines")
-    )
+    nearest = [F.col("cosine").desc(), F.col("id").asc()]
+    salted = scored.distinct().withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))
+    few = salted.withColumn("k", F.row_number().over(Window.partitionBy("first_id", "salt").orderBy(*nearest))).filter(F.col("k") <= top)
+    few = few.withColumn("k", F.row_number().over(Window.partitionBy("first_id").orderBy(*nearest))).filter(F.col("k") <= top)  # at most 64 x top rows a cluster
+    best = few.groupBy("first_id", "n_members").agg(F.array_sort(F.collect_list(F.struct("k", "id", "cosine"))).alias("t"))
+    return best.select("first_id", "n_members", F.transform("t", lambda s: s["id"]).alias("typical_ids"), F.transform("t", lambda s: s["cosine"]).alias("typical_cosines"))
