@@ -160,7 +160,11 @@ def minhash(value: np.ndarray, bounds: np.ndarray, samples: int) -> np.ndarray:
 
 
 def band_keys(signature: np.ndarray, rows: int) -> np.ndarray:
-    """One 64-bit bucket key per text and band of `rows` samples; bands never share keys."""
+    """One bucket key per text and band of `rows` samples; bands never share keys.
+
+    Keys keep 48 bits: a chance collision only adds a candidate, and the rows that are shuffled get
+    smaller.
+    """
     bands = signature.shape[1] // rows
     out = np.empty((len(signature), bands), U64)
     for k in range(bands):
@@ -168,7 +172,7 @@ def band_keys(signature: np.ndarray, rows: int) -> np.ndarray:
         for j in range(rows):
             h = (h ^ signature[:, k * rows + j].astype(U64)) * MULT_A
             h ^= h >> U64(32)
-        out[:, k] = mix(h)
+        out[:, k] = mix(h) >> U64(16)
     return out
 
 
