@@ -385,3 +385,33 @@ def test_queries(spark, data, name):
         compare(df, views(data), sql)
     else:
         assert df.count() > 0
+
+
+def test_very_long_texts(spark):
+    long = " ".join(f"word{k}" for k in range(150_000))
+    rows = [(1, long), (2, long.upper()), (3, long[:-1] + "x"), (4, "short text"), (5, "-" * 300_000)]
+    df = spark.createDataFrame([(str(i), t) for i, t in rows], "event_id string, text string")
+    kept, members = layout.layout_duplicates(df, "event_id", "text")
+    assert [(r.kept, r.id) for r in layout.copies(kept, members).collect()] == [("1", "2")]
+    near = neardup.near_duplicates(df, "event_id", "text", width=3, threshold=0.6)
+    assert {(r.id_a, r.id_b) for r in neardup.all_pairs(near).collect()} == {("1", "2"), ("1", "3"), ("2", "3")}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    shared = spans.shared_spans(docs, "doc_id", "text")
+    assert {(r.id_a, r.id_b) for r in spans.sharing_pairs(shared).collect()} == {(1, 3)}
+    sizes = tokens.token_counts(docs, ["doc_id"], "text")
+    packed = packing.pack(sizes, {"x": 4096})
+    assert packed.groupBy("container_id").agg(F.sum("n_tokens").alias("n")).filter("n > 4096").count() == 0
+    assert packed.agg(F.sum("n_tokens")).first()[0] == sizes.agg(F.sum("n_tokens")).first()[0]
+    assert residue.residue(docs, "doc_id", "text").count() == 0
+
+
+def test_a_third_of_all_rows_in_one_group(spark):
+    notice = "This notice stands in very many documents of the collection and is longer than the gram of the anchors, " * 2
+    rows = spark.range(3_000).select(
+        F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit(notice[:150])).otherwise(F.lit("")).alias("head"), F.sha2(F.col("id").cast("string"), 512).alias("body")
+    ).select("doc_id", F.concat("body", "head", F.sha2("body", 512)).alias("text"))
+    shared = spans.shared_spans(rows, "doc_id", "text", length=200)
+    assert spans.sharing_pairs(shared).count() == 0
+    vectors = rows.select(F.col("doc_id").cast("string").alias("event_id"), F.when(F.col("doc_id") % 3 == 0, F.array(F.lit(1.0), F.lit(0.0), F.lit(0.01))).otherwise(F.array(F.lit(0.0), F.sin("doc_id"), F.cos("doc_id"))).cast("array<float>").alias("embedding"))
+    found = clusters.memberships(clusters.vector_clusters(vectors, "event_id", "embedding", block=100))
+    assert found.filter("first_id = '0'").count() == 1_000
