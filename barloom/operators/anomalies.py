@@ -12,11 +12,11 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.operators.prefilter import maybe_in
-from barloom.session import written
+from barloom.session import release, written
 
 FIELDS = ("open", "high", "low", "close")
 FROZEN, SPIKE, IMPOSSIBLE = 1, 2, 4
@@ -138,6 +138,44 @@ def _judged(batches: Iterator[pa.RecordBatch], run: int, times: float) -> Iterat
         yield from done()
 
 
+def suspects(known: DataFrame, *, run: int, times: float, accuracy: int = 400) -> DataFrame:
+    """source, ticker of series that can hold a frozen or spiking price; no series with a case is missed.
+
+    Rows are reduced to one per date.  A quantile sketch of each series' daily changes, merged across
+    partitions, gives its usual movement; a series is suspect when some price moves away from the last
+    close by more than `times` a lower bound of the median (its 45 % quantile), or when a field shows
+    no variance: the value ranges of `run` successive dates each touch the one before.
+    """
+    positive = [F.when(F.col(f) > 0, F.col(f)) for f in FIELDS]
+    close = F.when(F.col("close") > 0, F.col("close"))
+    daily = known.groupBy("source", "ticker", "feature_date").agg(
+        F.min_by(close, F.when(close.isNotNull(), F.col("id"))).alias("c"), F.min(F.least(*positive)).alias("low_price"), F.max(F.greatest(*positive)).alias("high_price"),
+        *(f(x).alias(f"{name}_{x}") for x in FIELDS for name, f in (("from", F.min), ("to", F.max))),
+    )
+    w = Window.partitionBy("source", "ticker").orderBy("feature_date")
+    past = w.rowsBetween(Window.unboundedPreceding, -1)
+
+    def before(c: str):
+        return F.last(c, ignorenulls=True).over(past)
+
+    def touches(x: str):
+        meets = F.greatest(f"from_{x}", before(f"from_{x}")) <= F.least(f"to_{x}", before(f"to_{x}"))
+        return F.when(F.col(f"from_{x}").isNull(), 1).otherwise(F.coalesce((meets & before(f"from_{x}").isNotNull()).cast("int"), F.lit(0)))
+
+    def away(c: str):
+        return F.abs(F.ln(F.col(c)) - F.ln(before("c")))
+
+    moved = daily.select("source", "ticker", "feature_date", away("c").alias("change"), F.greatest(away("low_price"), away("high_price")).alias("rate"), *(touches(x).alias(f"t_{x}") for x in FIELDS))
+    still = F.lit(False)
+    for x in FIELDS:
+        still = still | (F.sum(f"t_{x}").over(w.rowsBetween(-(run - 2), 0)) >= run - 1)
+    series = moved.withColumn("still", still).groupBy("source", "ticker").agg(
+        F.expr(f"kll_sketch_agg_double(change, {accuracy}) FILTER (WHERE change IS NOT NULL)").alias("sketch"), F.count("change").alias("n"), F.max("rate").alias("rate"), F.max("still").alias("still")
+    )
+    usual = F.expr("CASE WHEN n > 0 THEN kll_sketch_get_quantile_double(sketch, 0.45D) END")
+    return series.filter(F.col("still") | F.coalesce(F.col("rate") > F.lit(times) * usual, F.lit(False))).select("source", "ticker")
+
+
 def bad_bars(bars: DataFrame, id_col: str, *, run: int = 6, times: float = 15.0) -> DataFrame:
     """Rows with at least one bad price: id, flags (1 frozen, 2 spike, 4 impossible).
 
@@ -145,18 +183,24 @@ def bad_bars(bars: DataFrame, id_col: str, *, run: int = 6, times: float = 15.0)
     row.  Frozen: one field keeps its value on `run` or more successive dates.  Spike: a positive
     price more than `times` the median absolute change of ln(close) away from the ordinary closes
     before and after it.  Repeated deliveries count, null and NaN prices do not; rows with a null
-    source, ticker or date are judged for impossible prices only.  Equal deliveries are merged before
-    the shuffle by series, so what one task holds of a series is bounded by its calendar, not by its
-    rows.  An empty table gives an empty result; other columns are not read.
+    source, ticker or date are judged for impossible prices only.  An empty table gives an empty
+    result; other columns are not read.
+
+    Quantile sketches screen the series (`suspects`); only suspect ones are then checked exactly, each
+    sorted once.  Equal deliveries are merged before that shuffle, so what one task holds of a series
+    is bounded by its calendar, not by its rows.
     """
     rows = clean_series(bars, id_col)
     tuple_ = ["source", "ticker", "feature_date", *FIELDS]
     known = rows.filter("source is not null and ticker is not null and feature_date is not null")
-    merged = known.groupBy(*tuple_).agg(F.min("id").alias("first"))
+    chosen = written(suspects(known, run=run, times=times), "suspects")
+    release(rows.sparkSession)
+    merged = known.groupBy(*tuple_).agg(F.min("id").alias("first")).join(chosen, ["source", "ticker"], "left_semi")
     flagged = (
         merged.repartition("source", "ticker").sortWithinPartitions("source", "ticker", "feature_date", "first").select(*tuple_)
         .mapInArrow(partial(_judged, run=run, times=times), "source string, ticker string, feature_date date, open double, high double, low double, close double, flags int")
     )
+
     def print_(prefix: str = ""):
         return F.xxhash64(*(f"{prefix}{c}" for c in tuple_[:3]), *(F.coalesce(F.col(f"{prefix}{f}"), F.lit(-1e308)) for f in FIELDS))
 

@@ -74,7 +74,7 @@ def forward_mean_loo(spark, sf_dir):
     return rounded(relative(spark, sf_dir), 7)
 
 
-@query("SELECT * FROM (VALUES ('unique_entity_date'), ('finite_target'), ('outcome_after_date'), ('outcome_ordered'), ('relative_is_difference'), ('leave_one_out_algebra'), ('cross_section')) v(\"check\") CROSS JOIN (VALUES (true, 0)) w(passed, n_violations)")
+@query("SELECT * FROM (VALUES ('unique_entity_date'), ('finite_target'), ('outcome_after_date'), ('outcome_ordered'), ('relative_is_difference'), ('leave_one_out_algebra'), ('cross_section')) v(\"check\") CROSS JOIN (VALUES (true, 0::BIGINT)) w(passed, n_violations)")
 def target_invariants(spark, sf_dir):
     return L.audit_target(relative(spark, sf_dir))
 
@@ -169,7 +169,7 @@ def regime_labels(spark, sf_dir):
 
 
 @query(f"""WITH {RESID}, s AS (SELECT date, entity, residual, CAST(abs(residual) > q90 AS INT) AS spike FROM resid LEFT JOIN thr USING (entity))
-  SELECT date, count(DISTINCT entity) AS n_entities, round(avg(residual), 7) AS sector_mean, round(stddev_samp(residual), 7) AS sector_std, round(avg(spike), 7) AS spike_breadth, sum(spike) AS spike_count,
+  SELECT date, count(DISTINCT entity) AS n_entities, round(avg(residual), 7) AS sector_mean, round(stddev_samp(residual), 7) AS sector_std, round(avg(spike), 7) AS spike_breadth, sum(spike)::BIGINT AS spike_count,
   CAST(sum(spike) >= 3 AS INT) AS spike_at_least_3, CAST(sum(spike) >= 5 AS INT) AS spike_at_least_5, CAST(sum(spike) >= 6 AS INT) AS spike_at_least_6 FROM s GROUP BY date""")
 def sector_breadth(spark, sf_dir):
     frame = residuals(spark, sf_dir)

@@ -132,6 +132,39 @@ def test_bad_bars_frozen_impossible_and_dirty_keys(spark):
     assert anomalies.bad_bars(bars(spark, []), "source_row_number").count() == 0
 
 
+def test_screening_misses_no_series(spark):
+    rng = np.random.default_rng(13)
+    rows, n = [], 0
+    for k in range(120):
+        days = int(rng.integers(2, 40))
+        closes = 50 * np.exp(np.cumsum(rng.normal(0, 0.01, days)))
+        if k % 3 == 0 and days > 8:
+            closes[int(rng.integers(1, days - 2))] *= float(rng.choice([1.16, 1.3, 3.0, 0.4]))
+        if k % 4 == 0 and days > 10:
+            at = int(rng.integers(0, days - 7))
+            closes[at : at + int(rng.integers(4, 8))] = closes[at]
+        for d, c in enumerate(closes.tolist()):
+            prices = [c, c * 1.001, c * 0.999, c]
+            if rng.random() < 0.02:
+                prices[int(rng.integers(0, 4))] *= float(rng.choice([2.0, 0.3]))
+            if rng.random() < 0.05:
+                prices[int(rng.integers(0, 4))] = None
+            copies = [prices] if rng.random() < 0.9 else [prices, [*prices[:3], None if prices[3] is None else prices[3] * 1.0001]]
+            for p in copies:
+                rows.append((n, "s", f"t{k}", dt.date(2022, 1, 1) + dt.timedelta(d), *p))
+                n += 1
+    got = {r.id: r.flags for r in anomalies.bad_bars(bars(spark, rows), "source_row_number").collect()}
+    want = {}
+    for k in range(120):
+        own = [r for r in rows if r[2] == f"t{k}"]
+        day = np.array([r[3].toordinal() for r in own])
+        prices = np.array([[np.nan if v is None else v for v in r[4:]] for r in own], float)
+        for r, f in zip(own, anomalies.judge_series(day, prices, 6, 15.0)):
+            if f:
+                want[r[0]] = int(f)
+    assert {i: f & 3 for i, f in got.items() if f & 3} == want and len(want) > 60
+
+
 def test_frozen_rows_brute_force():
     rng = np.random.default_rng(5)
     for _ in range(200):
