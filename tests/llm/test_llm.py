@@ -189,6 +189,26 @@ NEWS = [
 ]
 
 
+# Texts of the world, not of the test tables.
+PAGES = [
+    "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua.",
+    "Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat. Duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur.",
+    "Sed ut perspiciatis unde omnis iste natus error sit voluptatem accusantium doloremque laudantium, totam rem aperiam", "Pellentesque habitant morbi tristique senectus et netus et malesuada fames ac turpis egestas.",
+    "404 Not Found nginx", "<html><body><center><h1>502 Bad Gateway</h1></center><hr><center>nginx/1.18.0</center></body></html>", "404 Not Found nginx/1.24.0 (Ubuntu)", "Error 503 Backend fetch failed Guru Meditation: XID: 32770 Varnish cache server",
+    "Not Found The requested URL /news/2024/a-long-name-of-a-story.html was not found on this server. Apache/2.4.41 (Ubuntu) Server at www.example.com Port 80", "404. That's an error. The requested URL /stories was not found on this server. That's all we know.",
+    "HTTP Status 404 – Not Found Type Status Report Message /app/x Description The origin server did not find a current representation for the target resource or is not willing to disclose that one exists. Apache Tomcat/9.0.30",
+    "Whitelabel Error Page This application has no explicit mapping for /error, so you are seeing this as a fallback. There was an unexpected error (type=Not Found, status=404).", "Cannot GET /stories/12", "Server Error in '/' Application.",
+    "This site can’t be reached www.example.com refused to connect. Try: Checking the connection Checking the proxy and the firewall ERR_CONNECTION_REFUSED", "Sorry, you have been blocked You are unable to access example.com", "Just a moment... Enable JavaScript and cookies to continue",
+    "The page you were looking for doesn't exist. You may have mistyped the address or the page may have moved.",
+]
+MENTIONS = ["Cloudflare shares fell after an error took its server down", "Apache server sales rose at port Houston", "Nginx maker F5 cut its outlook", "Salesforce.com says service unavailable for two hours after upgrade", "Intel/AMD: server error rates fell", "Se a in et non", "The server at the heart of the case was seized"]
+
+
+def test_residue_beyond_the_tables():
+    assert [t for t in PAGES if residue.judge(t)[0] is None] == []
+    assert [t for t in MENTIONS if residue.judge(t)[0]] == []
+
+
 def test_residue_cases(spark):
     assert [t for t in CASES if residue.judge(t)[0] is None] == []
     assert [t for t in NEWS if t is not None and residue.judge(t)[0]] == []
