@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barloom.session import written
+
 
 def _matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows of a list column of that length with finite values, and their positions."""
@@ -94,27 +96,42 @@ def random_axes(width: int, components: int, seed: int) -> Projection:
     return Projection(np.zeros(width), axes, np.ones(components))
 
 
+def _unit_blocks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        x, _ = _matrix(batch.column(0), width)
+        single = pa.types.is_float32(batch.column(0).type.value_type)
+        x = x[np.linalg.norm(x, axis=1) > 0].astype("f4" if single else "f8")
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()), pa.array([single])], ["x", "single"])
+
+
 def _assign_sums(batches: Iterator[pa.RecordBatch], centers: np.ndarray) -> Iterator[pa.RecordBatch]:
     runs, k, width = centers.shape
     total = np.zeros((runs, k, width + 2))
     for batch in batches:
-        x, _ = _matrix(batch.column(0), width)
-        norm = np.linalg.norm(x, axis=1)
-        x = x[norm > 0] / norm[norm > 0, None]
-        for r in range(runs):
-            d = np.maximum((centers[r] ** 2).sum(axis=1)[None, :] + 1 - 2 * x @ centers[r].T, 0)
-            near = d.argmin(axis=1)
-            np.add.at(total[r], near, np.hstack([np.ones((len(x), 1)), d[np.arange(len(x)), near][:, None], x]))
+        for block, single in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            x = np.frombuffer(block, "f4" if single else "f8").reshape(-1, width).astype(float)
+            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            at = np.arange(len(x))
+            for r in range(runs):
+                d = np.maximum((centers[r] ** 2).sum(axis=1)[None, :] + 1 - 2 * x @ centers[r].T, 0)
+                near = d.argmin(axis=1)
+                member = np.zeros((len(x), k))
+                member[at, near] = 1
+                total[r, :, 0] += member.sum(axis=0)
+                total[r, :, 1] += np.bincount(near, d[at, near], k)
+                total[r, :, 2:] += member.T @ x
     yield pa.RecordBatch.from_arrays([_lists(total.reshape(1, -1))], ["m"])
 
 
-def spherical_kmeans(df: DataFrame, vector: str, width: int, k: int, *, restarts: int = 4, rounds: int = 12, seed: int = 1, sample: int = 4_096) -> np.ndarray:
+def spherical_kmeans(df: DataFrame, vector: str, width: int, k: int, *, restarts: int = 20, rounds: int = 500, seed: int = 1, sample: int = 4_096) -> np.ndarray:
     """k unit centres: Euclidean Lloyd on unit vectors, the best of several starts by cost.
 
     Starts are drawn from a bounded sample of rows chosen by hash; every round is one pass for all starts
-    together.  Empty clusters keep their centre.  With fewer distinct rows than k, rows repeat.
+    whose centres still move, over vectors packed once.  A start that has not settled after `rounds` is
+    an error.  Empty clusters keep their centre.  With fewer distinct rows than k, rows repeat.
     """
-    salted = df.select(F.col(vector).cast("array<double>").alias("v")).filter("v is not null")
+    given = df.select(F.col(vector).alias("v")).filter("v is not null")
+    salted = given.select(F.col("v").cast("array<double>").alias("v"))
     drawn = salted.orderBy(F.xxhash64(F.lit(seed), "v")).limit(sample).collect() if sample <= 4_096 else salted.limit(sample).collect()
     rows = np.array([r.v for r in drawn if len(r.v) == width], float).reshape(-1, width)
     norm = np.linalg.norm(rows, axis=1)
@@ -124,20 +141,26 @@ def spherical_kmeans(df: DataFrame, vector: str, width: int, k: int, *, restarts
     rng = np.random.default_rng(seed)
     centers = np.stack([_spread(rows, k, rng) for _ in range(restarts)])
     cost = np.full(restarts, np.inf)
+    exact = given if given.schema["v"].dataType.simpleString() == "array<float>" else salted
+    blocks = written(exact.mapInArrow(partial(_unit_blocks, width=width), "x binary, single boolean"), "vectors")
+    live = np.arange(restarts)
     for _ in range(rounds):
-        parts = salted.mapInArrow(partial(_assign_sums, centers=centers), "m array<double>")
+        parts = blocks.mapInArrow(partial(_assign_sums, centers=centers[live]), "m array<double>")
         cells = parts.select(F.posexplode("m").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x")).collect()
-        total = np.zeros(restarts * k * (width + 2))
+        total = np.zeros(len(live) * k * (width + 2))
         for c in cells:
             total[c.k] = c.x
-        total = total.reshape(restarts, k, width + 2)
-        cost = total[:, :, 1].sum(axis=1)
+        total = total.reshape(len(live), k, width + 2)
+        cost[live] = total[:, :, 1].sum(axis=1)
         full = total[:, :, 0] > 0
-        after = np.where(full[:, :, None], total[:, :, 2:] / np.maximum(total[:, :, :1], 1), centers)
-        moved = np.abs(after - centers).max()
-        centers = after
-        if moved < 1e-9:
+        after = np.where(full[:, :, None], total[:, :, 2:] / np.maximum(total[:, :, :1], 1), centers[live])
+        moved = np.abs(after - centers[live]).max(axis=(1, 2))
+        centers[live] = after
+        live = live[moved >= 1e-9]
+        if not len(live):
             break
+    else:
+        raise RuntimeError(f"{len(live)} of {restarts} starts did not settle in {rounds} rounds")
     best = centers[int(cost.argmin())]
     return best / np.maximum(np.linalg.norm(best, axis=1, keepdims=True), 1e-12)
 

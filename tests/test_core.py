@@ -374,6 +374,33 @@ def test_kmeans_and_matching(spark):
     assert models.spherical_kmeans(df.limit(0), "v", 4, 4).shape == (0, 4)
 
 
+def test_kmeans_runs_until_all_starts_settle(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(3_000, 3)).astype("f4").astype(float)
+    for kind in ("float", "double"):
+        df = spark.createDataFrame([(v.tolist(),) for v in x], f"v array<{kind}>")
+        got = models.spherical_kmeans(df, "v", 3, 8, seed=3)
+        drawn = df.select(F.col("v").cast("array<double>").alias("v")).orderBy(F.xxhash64(F.lit(3), "v"))
+        rows = np.array([r.v for r in drawn.collect()])
+        rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+        starts, best = np.random.default_rng(3), (np.inf, None)
+        longest = 0
+        for c in [models._spread(rows, 8, starts) for _ in range(20)]:
+            for n in range(500):
+                d = ((rows[:, None] - c) ** 2).sum(axis=2)
+                near = d.argmin(axis=1)
+                before, c = c, np.array([rows[near == j].mean(axis=0) for j in range(8)])
+                if np.abs(c - before).max() < 1e-9:
+                    break
+            longest = max(longest, n)
+            best = min(best, (d.min(axis=1).sum(), c.tolist()))
+        want = np.array(best[1])
+        assert longest > 12
+        assert np.allclose(got, want / np.linalg.norm(want, axis=1, keepdims=True), atol=1e-7)
+    with pytest.raises(RuntimeError, match="did not settle"):
+        models.spherical_kmeans(df, "v", 3, 8, rounds=3)
+
+
 def test_matching_is_optimal():
     import itertools
 
