@@ -270,7 +270,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, *, width: int = 5
     hot = found.filter("kind = 2").select(F.col("a").alias("print")).distinct()
     if not hot.isEmpty():
         wide = written(classes.join(hot, "print", "left_semi").select("print", "id"), "hot")
-        grams = wide.join(maybe_in(texts.select("id", "text"), "id", wide, "id"), "id").select("print", "text")
+        grams = wide.join(maybe_in(texts.select("id", "text"), "id", wide, "id"), "id").dropDuplicates(["id", "print"]).select("print", "text")
         grams = grams.mapInArrow(partial(_grams_of, width=width), "print long, size long, gram long")
         candidates = candidates.union(prefix_pairs(written(grams, "grams"), threshold)).distinct()
     one = classes.select(F.col("print").alias("a"), F.col("id").alias("id_a"), F.col("sketch").alias("sketch_a"))
@@ -278,7 +278,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, *, width: int = 5
     likely = candidates.join(one, "a").join(other, "b").select("a", "b", "id_a", "id_b", "sketch_a", "sketch_b")
     likely = written(likely.mapInArrow(partial(_sketched, threshold=threshold, samples=rows * bands), "a long, b long, id_a string, id_b string"), "likely")
     release(spark)
-    bare = maybe_in(texts.select("id", "text"), "id", likely.select("id_a").union(likely.select("id_b")).distinct(), "id_a")
+    bare = maybe_in(texts.select("id", "text"), "id", likely.select("id_a").union(likely.select("id_b")).distinct(), "id_a").dropDuplicates(["id"])
     wanted = (
         likely.join(bare.select(F.col("id").alias("id_a"), F.col("text").alias("text_a")), "id_a")
         .join(bare.select(F.col("id").alias("id_b"), F.col("text").alias("text_b")), "id_b")

@@ -108,6 +108,22 @@ def test_hot_buckets_take_the_exact_route(spark):
     assert {(r.id_a, r.id_b) for r in neardup.all_pairs(near).collect()} == true_pairs(rows, 0.6)
 
 
+@pytest.mark.parametrize("bucket", [2, 128])
+def test_repeated_rows_only_repeat_members(spark, bucket):
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(60):
+        t = [f"w{k}" for k in range(80)]
+        for k in rng.integers(0, 80, 6):
+            t[k] = f"y{rng.integers(0, 10**6)}"
+        rows.append((f"e{i:03}", " ".join(t)))
+    once, thrice = (neardup.near_duplicates(spark.createDataFrame(r, "event_id string, text string"), "event_id", "text", width=3, threshold=0.6, bucket=bucket) for r in (rows, rows + rows[:40] + rows[:30]))
+    want, got = ([(r.a, r.b) for r in n.links.collect()] for n in (once, thrice))
+    assert len(got) == len(set(got)) and set(got) == set(want) and want
+    assert {(r.id_a, r.id_b) for r in neardup.all_pairs(thrice).collect()} == true_pairs(rows, 0.6)
+    assert {tuple(r) for r in neardup.groups(thrice).collect()} == {tuple(r) for r in neardup.groups(once).collect()}
+
+
 def test_cross_split_overlap(spark):
     rng = np.random.default_rng(3)
     texts = variants(rng, 50)
