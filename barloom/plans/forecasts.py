@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -264,6 +266,40 @@ def bootstrap_non_circular(spark, sf_dir):
     return rounded(I.bootstrap_summary(draws))
 
 
+# The reference's grid: block lengths, seeds and repetitions.
+BLOCKS, SEEDS, REPETITIONS = (10, 15, 20), (42, 123, 2026), 2_000
+
+
+def _boots(circular: bool, blocks: tuple[int, ...], seeds: tuple[int, ...], reps: int) -> str:
+    parts = []
+    for block in blocks:
+        for seed in seeds:
+            one = _boot(circular).replace("least(10, n)", f"least({block}, n)").replace("range(10)", f"range({block})").replace("range(200)", f"range({reps})").replace("'42|'", f"'{seed}|'")
+            parts.append(f"SELECT {block} AS block_length, {seed} AS seed, * FROM ({one})")
+    return " UNION ALL ".join(parts)
+
+
+def _bootstraps(spark: SparkSession, sf_dir: str, blocks: tuple[int, ...], seeds: tuple[int, ...], reps: int, circular: bool) -> DataFrame:
+    series = written(daily(spark, sf_dir).filter("split = 'test'"), "daily")
+    parts = [
+        rounded(I.bootstrap_summary(I.block_bootstrap(series, "absolute_gain", block, reps, seed, circular=circular))).select(F.lit(block).alias("block_length"), F.lit(seed).alias("seed"), "*")
+        for block in blocks for seed in seeds
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query(_boots(True, BLOCKS, SEEDS, REPETITIONS))
+def bootstrap_circular_grid(spark, sf_dir):
+    """All block lengths and seeds of the reference with its 2,000 repetitions."""
+    return _bootstraps(spark, sf_dir, BLOCKS, SEEDS, REPETITIONS, True)
+
+
+@query(_boots(False, (10,), (42,), 500))
+def bootstrap_non_circular_full(spark, sf_dir):
+    """The reference's 500 repetitions."""
+    return _bootstraps(spark, sf_dir, (10,), (42,), 500, False)
+
+
 TICK = f"{VOL}, tick AS (SELECT split_part(entity, '/', 2) AS ticker, date, avg(log_variance) AS v FROM vol WHERE split_part(entity, '/', 2) IN ({', '.join(repr(t) for t in UNIVERSE)}) GROUP BY ALL), pc AS (SELECT a.ticker AS entity_a, b.ticker AS entity_b, count(*) AS n, CASE WHEN stddev_pop(a.v) > 0 AND stddev_pop(b.v) > 0 AND count(*) >= 2 THEN corr(a.v, b.v) END AS correlation FROM tick a JOIN tick b ON a.date = b.date AND a.ticker < b.ticker GROUP BY ALL)"
 
 

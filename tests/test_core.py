@@ -531,3 +531,11 @@ def test_preparation(spark):
     assert sum(r["z__v"] for r in out[:4]) == pytest.approx(0) and out[4]["is__k__0"] == out[4]["is__k__1"] == 0 and out[4]["missing__v"] == 1
     with pytest.raises(ValueError):
         models.fit_preparation(df, [], ["k"], most=1)
+
+
+def test_bootstraps_have_the_numbers_of_the_reference(spark, data):
+    from barloom import registry
+
+    grid = registry.queries()["bootstrap_circular_grid"](spark, data).collect()
+    assert {(r.block_length, r.seed, r.repetitions) for r in grid} == {(b, s, 2_000) for b in (10, 15, 20) for s in (42, 123, 2026)} and len(grid) == 9
+    assert [r.repetitions for r in registry.queries()["bootstrap_non_circular_full"](spark, data).collect()] == [500]
