@@ -192,3 +192,14 @@ def streamed_bars(spark, sf_dir):
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     out = B.run_once(spark, f"{sf_dir}/events.parquet*", schema, entity="event_type", ts="ts", value="value")
     return out.select("entity", F.to_date("start").alias("date"), "open", "high", "low", "close", "n_rows")
+
+
+@query("""SELECT event_type AS entity, CAST(ts AS DATE) AS date, arg_min(value, ts) AS "open", max(value) AS high, min(value) AS low, arg_max(value, ts) AS "close", count(*) AS n_rows
+  FROM events WHERE ts IS NOT NULL GROUP BY ALL""")
+def streamed_bars_whole(spark, sf_dir):
+    """Daily bars of the whole event stream, the windows that were open at its end included."""
+    from barloom.streaming import bars as B
+
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    out = B.run_whole(spark, f"{sf_dir}/events.parquet*", schema, entity="event_type", ts="ts", value="value")
+    return out.select("entity", F.to_date("start").alias("date"), "open", "high", "low", "close", "n_rows")

@@ -25,10 +25,23 @@ def windowed_bars(stream: DataFrame, entity: str, ts: str, value: str, width: st
 def run_once(spark: SparkSession, path: str, schema: str, **how) -> DataFrame:
     """Stream everything that is there now into a table of the shared folder and return that table.
 
-    Windows that the watermark has not closed when the input ends are not part of it.
+    Windows that the watermark has not closed when the input ends are not part of it; see `run_whole`.
     """
     at = f"{shared_dir(spark)}/bars-{uuid.uuid4().hex}"
     bars = windowed_bars(spark.readStream.schema(schema).parquet(path), **how)
     query = bars.writeStream.format("parquet").option("path", f"{at}/table").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(bars.schema).parquet(f"{at}/table")
+
+
+def run_whole(spark: SparkSession, path: str, schema: str, **how) -> DataFrame:
+    """The streamed table, and for a finite input also the windows that were still open at its end.
+
+    Those come from the same files as a batch, so that events of a closed window that came too late
+    for the stream change nothing.
+    """
+    closed = run_once(spark, path, schema, **how)
+    whole = windowed_bars(spark.read.schema(schema).parquet(path), **how)
+    end = closed.agg(F.max("start").alias("closed"))
+    rest = whole.crossJoin(F.broadcast(end)).filter("closed is null or start > closed").drop("closed")
+    return closed.unionByName(rest)

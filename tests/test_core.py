@@ -468,6 +468,17 @@ def test_stream_equals_batch(spark, tmp_path):
     assert seen and all(whole[r.start] == r for r in seen) and len(seen) < len(whole)
 
 
+def test_stream_with_its_open_windows_is_the_batch(spark, tmp_path):
+    from barloom.streaming import bars as B
+
+    day = dt.datetime(2022, 1, 1)
+    for n in (40, 3):  # with three rows the watermark closes no window
+        df = spark.createDataFrame([("ef"[i % 2], day + dt.timedelta(hours=7 * i), float(i % 5)) for i in range(n)], "kind string, ts timestamp, value double")
+        df.coalesce(1).write.parquet(f"{tmp_path}/in{n}")
+        got = B.run_whole(spark, f"{tmp_path}/in{n}", df.schema, entity="kind", ts="ts", value="value").collect()
+        assert sorted(got) == sorted(B.windowed_bars(df, "kind", "ts", "value").collect())
+
+
 def test_permutation_keeps_the_values_of_a_group(spark):
     rows = [("g" if i % 3 else "h", f"e{i}", i) for i in range(200)] + [("g", None, 1)]
     df = spark.createDataFrame(rows, "g string, e string, v int")
