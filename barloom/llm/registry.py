@@ -112,12 +112,18 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_shares(shared).withColumnRenamed("id", "doc_id")
 
 
+def p9_shares_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares of every document, those shorter than a run included."""
+    docs = table(spark, sf_dir, "documents")
+    return spans.all_shares(spans.shared_spans(docs, "doc_id", "text", length=200), docs, "doc_id", "text", length=200).withColumnRenamed("id", "doc_id")
+
+
 def p9_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.repeated_lines(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_by_split_and_source, p2_found, p2_clusters, p3_found, p3_groups, p4_found, p4_by_source_and_kind, p6_found, p6_kept, p7_packed, p7_fills, p8_drawn, p8_shares, p9_found, p9_shares, p9_repeated_lines)}
+    return {f.__name__: f for f in (p1_found, p1_by_split_and_source, p2_found, p2_clusters, p3_found, p3_groups, p4_found, p4_by_source_and_kind, p6_found, p6_kept, p7_packed, p7_fills, p8_drawn, p8_shares, p9_found, p9_shares, p9_shares_all, p9_repeated_lines)}
 
 
 # The words of a text: runs of letters and digits, and a point or comma directly between two digits.
@@ -162,4 +168,10 @@ def oracle_sql() -> dict[str, str]:
           c AS (SELECT doc_id, sum(least(coalesce(gap, 200), 200)) AS covered FROM iv GROUP BY doc_id),
           d AS (SELECT doc_id, len(text) AS n_chars, count(*) OVER (PARTITION BY text) AS n_copies FROM documents WHERE len(text) >= 200)
           SELECT doc_id, n_chars, coalesce(covered, 0)::BIGINT AS shared_chars, n_copies, coalesce(covered, 0) / n_chars AS shared_share FROM d LEFT JOIN c USING (doc_id)""",
+        "p9_shares_all": """WITH o AS (SELECT doc_id, i, hash(substr(text, i, 200)) AS h FROM (SELECT doc_id, text, unnest(range(1, len(text) - 198)) AS i FROM documents WHERE len(text) >= 200)),
+          s AS (SELECT h FROM (SELECT DISTINCT doc_id, h FROM o) GROUP BY h HAVING count(*) > 1),
+          iv AS (SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS gap FROM o SEMI JOIN s USING (h)),
+          c AS (SELECT doc_id, sum(least(coalesce(gap, 200), 200)) AS covered FROM iv GROUP BY doc_id),
+          d AS (SELECT doc_id, len(text) AS n_chars, count(*) OVER (PARTITION BY text) AS n_copies FROM documents WHERE text IS NOT NULL)
+          SELECT doc_id, n_chars, coalesce(covered, 0)::BIGINT AS shared_chars, n_copies, coalesce(coalesce(covered, 0) / nullif(n_chars, 0), 0) AS shared_share FROM d LEFT JOIN c USING (doc_id)""",
     }

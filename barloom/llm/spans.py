@@ -217,6 +217,15 @@ def shared_shares(shared: Shared) -> DataFrame:
     )
 
 
+def all_shares(shared: Shared, df: DataFrame, id_col: str, text_col: str, *, length: int = 200) -> DataFrame:
+    """As `shared_shares`, with the texts shorter than `length` too: they share no run, so 0 characters."""
+    bare = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("id").isNotNull() & (F.length("text") < length))
+    short = bare.distinct().withColumn("print", F.sha2("text", 256))
+    copies = short.groupBy("print").agg(F.count("*").alias("n_copies"))
+    rows = short.join(copies, "print").select("id", F.length("text").cast("long").alias("n_chars"), F.lit(0).cast("long").alias("shared_chars"), "n_copies", F.lit(0.0).alias("shared_share"))
+    return shared_shares(shared).unionByName(rows)
+
+
 def _lines_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import hashlib
     import re

@@ -451,3 +451,14 @@ def test_a_third_of_all_rows_in_one_group(spark):
     vectors = rows.select(F.col("doc_id").cast("string").alias("event_id"), F.when(F.col("doc_id") % 3 == 0, F.array(F.lit(1.0), F.lit(0.0), F.lit(0.01))).otherwise(F.array(F.lit(0.0), F.sin("doc_id"), F.cos("doc_id"))).cast("array<float>").alias("embedding"))
     found = clusters.memberships(clusters.vector_clusters(vectors, "event_id", "embedding", block=100))
     assert found.filter("first_id = '0'").count() == 1_000
+
+
+def test_shares_list_short_texts_too(spark):
+    run = "".join(chr(97 + (7 * k * k + k // 3) % 26) for k in range(250))
+    rows = [(1, "a" + run), (2, "b" + run), (3, "short"), (4, "short"), (5, ""), (6, None), (7, "x" * 199), (7, "x" * 199)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    shared = spans.shared_spans(docs, "doc_id", "text")
+    got = {r.id: (r.n_chars, r.shared_chars, r.n_copies, r.shared_share) for r in spans.all_shares(shared, docs, "doc_id", "text").collect()}
+    assert set(got) == {1, 2, 3, 4, 5, 7} and got[1][:2] == (251, 250)
+    assert got[3] == got[4] == (5, 0, 2, 0.0) and got[5] == (0, 0, 1, 0.0) and got[7] == (199, 0, 1, 0.0)
+    assert {(r.id_a, r.id_b) for r in spans.sharing_pairs(shared).collect()} == {(1, 2)}
