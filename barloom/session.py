@@ -6,7 +6,7 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of one key from which it is handled as hot. The number of hot keys is at most
@@ -57,6 +57,15 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by `written` that no plan will read again."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        if files := df.inputFiles():
+            folder = sc._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of plans that nothing refers to any more.
 
@@ -72,12 +81,27 @@ def hot_keys(counts: DataFrame, key: str, count: str, total: int) -> DataFrame:
     return counts.filter(F.col(count) >= F.lit(max(HOT_ROWS, -(-total // HOT_KEYS)))).select(key)
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the tables that the plan reads, as far as their sizes are known."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = (int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return sum(s for s in sizes if s < 1 << 60)
+
+
+def gathered(df: DataFrame, *keys: str | Column, size: int, share: int = 256 << 20) -> DataFrame:
+    """Rows with equal keys in one partition each.  The partitions number spark.sql.shuffle.partitions,
+    or as many as keep `size` bytes at `share` a partition where that is more."""
+    least = -(-size // share)
+    if least > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        return df.repartition(least, *keys)
+    return df.repartition(*keys)
+
+
 def spread(df: DataFrame, small: int = 32 << 20) -> DataFrame:
     """A table of one small file is one task, whatever it costs per row: deal its rows to all cores.
 
     Tables of several files, or of a size that Spark splits by itself, stay as they are.
     """
-    plan = df._jdf.queryExecution().optimizedPlan()
-    if len(df.inputFiles()) == 1 and int(str(plan.stats().sizeInBytes())) <= small:
+    if 0 < input_bytes(df) <= small and len(df.inputFiles()) == 1:
         return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
     return df
