@@ -129,11 +129,11 @@ def _sequence_hash(word: np.ndarray) -> int:
 
 
 def set_prints(value: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """One 64-bit print per set, independent of order; 0 for an empty set."""
-    out = np.zeros(len(bounds) - 1, U64)
-    full = np.flatnonzero(np.diff(bounds))
-    if len(full):
-        out[full] = mix(np.add.reduceat(mix(value ^ MULT_C), bounds[full]))
+    """A 128-bit print per set (texts x 2), independent of order; every set must have an element."""
+    out = np.zeros((len(bounds) - 1, 2), U64)
+    if len(out):
+        out[:, 0] = mix(np.add.reduceat(mix(value ^ MULT_C), bounds[:-1]))
+        out[:, 1] = mix(np.add.reduceat(mix(value + MULT_B), bounds[:-1]) ^ np.diff(bounds).astype(U64))
     return out
 
 

@@ -16,12 +16,13 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm import kernel as K
 from barloom.operators.prefilter import maybe_in
-from barloom.session import release, spread, written
+from barloom.session import discard, gathered, input_bytes, release, spread, written
 
 #: Characters that one call of the kernels works on.
 CHARS = 1_500_000
@@ -32,8 +33,14 @@ BUCKET = 128
 #: Standard errors of the sketch's estimate that a candidate may lie below the threshold.
 SLACK = 5.0
 
-ROWS = "key long, print long, side int, id string, sketch binary"
-FOUND = "kind int, a long, b long, side int, id string, sketch binary"
+#: Bits of a class's print that band rows carry: enough to find its few namesakes by a join, all of
+#: which are then compared as candidates.
+SHORT = 40
+#: Prints of one task that are remembered to keep a class from being told twice.
+REMEMBERED = 1 << 18
+
+ROWS = "hi long, lo long, card binary"
+FOUND = "kind int, a long, b long, card binary"
 
 
 def banding(threshold: float) -> tuple[int, int]:
@@ -64,34 +71,56 @@ def _binary(rows: np.ndarray) -> pa.Array:
     return pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows))])
 
 
+def _prints(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The 16 bytes of each print, and its leading bits as a number."""
+    return prints.astype(">u8").view(np.uint8).reshape(-1, 16), (prints[:, 0] >> np.uint64(64 - SHORT)).astype(np.int64)
+
+
 def _rows_of(batches: Iterator[pa.RecordBatch], width: int, rows: int, bands: int) -> Iterator[pa.RecordBatch]:
-    seen: dict[int, int] = {}
-    names = ["key", "print", "side", "id", "sketch"]
+    """Three kinds of rows in one stream (hi, lo, card).
+
+    Band rows have no card: hi is the bucket's key and the upper bits of the class's short print, lo
+    its lower bits and the side, all of it as tight as it can be, for there are `bands` of them to
+    each class.  Members (lo 0, card: print, side, id) go anywhere, so a class of any size is spread.
+    Classes (lo 1, card: print, sketch, id) go by their print, once per task that meets them.
+    """
+    seen: dict[bytes, int] = {}
+    count = 0
+    names = ["hi", "lo", "card"]
+
+    def cards(hi, lo, *parts):
+        return pa.RecordBatch.from_arrays([pa.array(_signed(hi)), pa.array(np.full(len(hi), lo, np.int64)), pc.binary_join_element_wise(*parts, b"")], names)
+
     for batch in batches:
-        ids, texts = batch.column(0), batch.column(1).to_pylist()
-        sides = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int32)
+        ids, texts = batch.column(0).cast(pa.binary()), batch.column(1).to_pylist()
+        sides = batch.column(2).to_numpy(zero_copy_only=False).astype(np.uint8)
         for part in pieces(texts):
             value, bounds = K.shingles(texts[part], width)
             full = np.flatnonzero(np.diff(bounds))
             if not len(full):
                 continue
-            bounds = np.append(bounds[full], bounds[-1])
-            prints, side = K.set_prints(value, bounds), sides[part][full]
-            signature = K.minhash(value, bounds, rows * bands)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(_signed(prints)), pa.array(_signed(prints)), pa.array(side), ids.slice(part.start, part.stop - part.start).take(pa.array(full)), _binary(K.odd_sketch(signature, SKETCH_BITS))], names
-            )
+            bounds, side = np.append(bounds[full], bounds[-1]), sides[part][full]
+            prints = K.set_prints(value, bounds)
+            wide, short = _prints(prints)
+            own = ids.slice(part.start, part.stop - part.start).take(pa.array(full))
+            yield cards(K.mix(np.arange(count, count + len(full), dtype=np.uint64)), 0, _binary(wide), _binary(side[:, None]), own)
+            count += len(full)
             fresh = []
-            for k, (p, s) in enumerate(zip(prints.tolist(), side.tolist())):
-                if (old := seen.get(p, 0)) | s != old or p not in seen:
-                    seen[p] = old | s
+            for k, (p, s) in enumerate(zip(_binary(wide).to_pylist(), side.tolist())):
+                if (old := seen.get(p, -1)) < 0 or old | s != old:
+                    seen[p] = max(old, 0) | s
                     fresh.append(k)
-            if fresh:
-                keys = K.band_keys(signature[fresh], rows)
-                n = keys.size
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(_signed(keys.ravel())), pa.array(_signed(np.repeat(prints[fresh], bands))), pa.array(np.repeat(side[fresh], bands)), pa.nulls(n, pa.string()), pa.nulls(n, pa.binary())], names
-                )
+            if len(seen) > REMEMBERED:
+                seen.clear()
+            if not fresh:
+                continue
+            signature = K.minhash(value, bounds, rows * bands)[fresh]
+            yield cards(K.mix(prints[fresh, 0]), 1, _binary(wide[fresh]), _binary(K.odd_sketch(signature, SKETCH_BITS)), own.take(pa.array(fresh)))
+            keys, low = K.band_keys(signature, rows), SHORT - 16
+            name = short[fresh].astype(np.uint64)[:, None]
+            hi = (keys << np.uint64(16)) | (name >> np.uint64(low))
+            lo = ((short[fresh] & ((1 << low) - 1)) << 2) | side[fresh]
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(hi.ravel())), pa.array(np.repeat(lo, bands)), pa.nulls(hi.size, pa.binary())], names)
 
 
 def _pairs_of_groups(key: np.ndarray, value: np.ndarray, side: np.ndarray, sided: bool, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -129,13 +158,13 @@ def _pairs_of_groups(key: np.ndarray, value: np.ndarray, side: np.ndarray, sided
 
 
 def _buckets(batches: Iterator[pa.RecordBatch], sided: bool, limit: int) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by key: kind 0 = the row that stands for its class, 3 = its other members,
-    1 = pairs, 2 = members of hot buckets."""
-    names = ["kind", "a", "b", "side", "id", "sketch"]
+    """From rows sorted by hi: kind 0 = classes, once each, 1 = pairs of classes, 2 = classes of hot
+    buckets (all by short prints), 3 = members with their side in b."""
+    names = ["kind", "a", "b", "card"]
 
-    def out(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    def out(kind: int, a: np.ndarray, b: np.ndarray, card: pa.Array | None = None) -> pa.RecordBatch:
         n = len(a)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(a), pa.array(b), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string()), pa.nulls(n, pa.binary())], names)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(a), pa.array(b), pa.nulls(n, pa.binary()) if card is None else card], names)
 
     def done(key, value, side):
         a, b, over = _pairs_of_groups(key, value, side, sided, limit)
@@ -145,20 +174,28 @@ def _buckets(batches: Iterator[pa.RecordBatch], sided: bool, limit: int) -> Iter
             yield out(2, np.unique(over), np.unique(over))
 
     empty = np.empty(0, np.int64)
-    carry, hot, last = (empty, empty, empty), None, None
+    carry, hot, low = (empty, empty, empty), None, SHORT - 16
+    at, told = None, set()
     for batch in batches:
-        own = batch.filter(batch.column(3).is_valid())
-        if n := own.num_rows:
-            prints = own.column(0).to_numpy()
-            first = np.ones(n, bool)
-            first[1:] = prints[1:] != prints[:-1]
-            first[0] = last is None or prints[0] != last
-            last = prints[-1]
-            for kind, part in ((0, own.filter(pa.array(first))), (3, own.filter(pa.array(~first)))):
-                m = part.num_rows
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, kind, np.int32)), part.column(1), part.column(1), part.column(2), part.column(3), pa.nulls(m, pa.binary()) if kind else part.column(4)], names)
-        rest = batch.filter(batch.column(3).is_null())
-        key, value, side = (np.concatenate([old, rest.column(k).to_numpy(zero_copy_only=False).astype(np.int64)]) for k, old in enumerate(carry))
+        carded = batch.filter(batch.column(2).is_valid())
+        if carded.num_rows:
+            kind = carded.column(1).to_numpy()
+            member = carded.column(2).filter(pa.array(kind == 0))
+            if n := len(member):
+                yield out(3, np.zeros(n, np.int64), np.frombuffer(b"".join(pc.binary_slice(member, 16, 17).to_pylist()), np.uint8).astype(np.int64), member)
+            cards, keep, short = carded.column(2).filter(pa.array(kind == 1)), [], []
+            for k, (hi, card) in enumerate(zip(carded.column(0).to_numpy()[kind == 1].tolist(), cards.to_pylist())):
+                if hi != at:
+                    at, told = hi, set()
+                if (name := card[:16]) not in told:
+                    told.add(name)
+                    keep.append(k)
+                    short.append(int.from_bytes(name[: SHORT // 8], "big"))
+            if keep:
+                yield out(0, np.array(short, np.int64), np.array(short, np.int64), cards.take(pa.array(keep)))
+        band = batch.filter(batch.column(2).is_null())
+        hi, lo = band.column(0).to_numpy(), band.column(1).to_numpy()
+        key, value, side = (np.concatenate(x) for x in zip(carry, (hi >> 16, ((hi & 0xFFFF) << low) | (lo >> 2), lo & 3)))
         if hot is not None and len(key):
             n = int(np.searchsorted(key, hot, side="right"))
             if n:
@@ -206,11 +243,12 @@ def _verified(batches: Iterator[pa.RecordBatch], width: int, threshold: float) -
 
 def _grams_of(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        prints, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+        prints, texts = batch.column(0), batch.column(1).to_pylist()
         for part in pieces(texts):
             value, bounds = K.shingles(texts[part], width)
             size = np.diff(bounds)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(prints[part], size)), pa.array(np.repeat(size, size).astype(np.int64)), pa.array(_signed(value))], ["print", "size", "gram"])
+            of = pa.array(np.repeat(np.arange(part.start, part.stop), size))
+            yield pa.RecordBatch.from_arrays([prints.take(of), pa.array(np.repeat(size, size).astype(np.int64)), pa.array(_signed(value))], ["print", "size", "gram"])
 
 
 def prefix_pairs(grams: DataFrame, threshold: float) -> DataFrame:
@@ -258,25 +296,32 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, *, width: int = 5
     texts = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), side.alias("side")).filter("id is not null and text is not null")
     if side_col:
         texts = texts.filter("side > 0")
+    size = input_bytes(texts)
     keyed = spread(texts.select("id", "text", "side")).mapInArrow(partial(_rows_of, width=width, rows=rows, bands=bands), ROWS)
-    found = written(
-        keyed.repartition("key").sortWithinPartitions("key").mapInArrow(partial(_buckets, sided=bool(side_col), limit=bucket), FOUND).select("kind", "a", "b", "side", "id", "sketch"),
-        "buckets",
-    )
+    # a class has `bands` rows of about 15 bytes, however long its text
+    found = written(gathered(keyed, F.shiftright("hi", 16), size=3 * size).sortWithinPartitions("hi").mapInArrow(partial(_buckets, sided=bool(side_col), limit=bucket), FOUND), "buckets")
     release(spark)
-    members = found.filter("kind in (0, 3)").select("id", F.col("a").alias("print"), "side")
-    classes = found.filter("kind = 0").select(F.col("a").alias("print"), "id", "sketch")
+    name, rest = F.expr("substring(card, 1, 16)"), 17 + SKETCH_BITS // 8
+    members = found.filter("kind = 3").select(F.expr("cast(substring(card, 18) as string)").alias("id"), name.alias("print"), F.col("b").cast("int").alias("side"))
+    classes = found.filter("kind = 0").select(F.col("a").alias("short"), name.alias("print"), F.expr(f"substring(card, 17, {SKETCH_BITS // 8})").alias("sketch"), F.expr(f"cast(substring(card, {rest}) as string)").alias("id"))
     candidates = found.filter("kind = 1").select("a", "b").distinct()
-    hot = found.filter("kind = 2").select(F.col("a").alias("print")).distinct()
+    hot = found.filter("kind = 2").select(F.col("a").alias("short")).distinct()
+
+    def matched(pairs: DataFrame, by: str) -> DataFrame:
+        """Both classes of candidate pairs; candidates are far fewer than texts, most of which have none."""
+        ends = pairs.select(F.col("a").alias("end")).union(pairs.select("b"))
+        those = maybe_in(classes, by, ends, "end")
+        one, other = (those.select(F.col(by).alias(f"key_{x}"), F.col("print").alias(x), F.col("id").alias(f"id_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
+        both = pairs.select(F.col("a").alias("key_a"), F.col("b").alias("key_b")).join(one, "key_a").join(other, "key_b")
+        return both.select("a", "b", "id_a", "id_b", "sketch_a", "sketch_b")
+
+    both = matched(candidates, "short")
     if not hot.isEmpty():
-        wide = written(classes.join(hot, "print", "left_semi").select("print", "id"), "hot")
+        wide = written(classes.join(hot, "short", "left_semi").select("print", "id"), "hot")
         grams = wide.join(maybe_in(texts.select("id", "text"), "id", wide, "id"), "id").dropDuplicates(["id", "print"]).select("print", "text")
-        grams = grams.mapInArrow(partial(_grams_of, width=width), "print long, size long, gram long")
-        candidates = candidates.union(prefix_pairs(written(grams, "grams"), threshold)).distinct()
-    one = classes.select(F.col("print").alias("a"), F.col("id").alias("id_a"), F.col("sketch").alias("sketch_a"))
-    other = classes.select(F.col("print").alias("b"), F.col("id").alias("id_b"), F.col("sketch").alias("sketch_b"))
-    likely = candidates.join(one, "a").join(other, "b").select("a", "b", "id_a", "id_b", "sketch_a", "sketch_b")
-    likely = written(likely.mapInArrow(partial(_sketched, threshold=threshold, samples=rows * bands), "a long, b long, id_a string, id_b string"), "likely")
+        grams = grams.mapInArrow(partial(_grams_of, width=width), "print binary, size long, gram long")
+        both = both.union(matched(prefix_pairs(written(grams, "grams"), threshold), "print")).dropDuplicates(["a", "b"])
+    likely = written(both.mapInArrow(partial(_sketched, threshold=threshold, samples=rows * bands), "a binary, b binary, id_a string, id_b string"), "likely")
     release(spark)
     bare = maybe_in(texts.select("id", "text"), "id", likely.select("id_a").union(likely.select("id_b")).distinct(), "id_a").dropDuplicates(["id"])
     wanted = (
@@ -284,7 +329,8 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, *, width: int = 5
         .join(bare.select(F.col("id").alias("id_b"), F.col("text").alias("text_b")), "id_b")
         .select("a", "b", "text_a", "text_b")
     )
-    links = written(wanted.mapInArrow(partial(_verified, width=width, threshold=threshold), "a long, b long, likeness double"), "links")
+    links = written(wanted.mapInArrow(partial(_verified, width=width, threshold=threshold), "a binary, b binary, likeness double"), "links")
+    discard(likely)
     release(spark)
     return Nearness(members, links)
 
