@@ -70,17 +70,14 @@ def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of plans that nothing refers to any more.
 
     Spark frees them only when the driver happens to collect its garbage; between two large stages
-    that may be too late for the executors' disks.
+    that may be too late for the executors' disks.  The scheduler still holds the last job, so an
+    empty one takes its place first.
     """
+    spark.range(1, numPartitions=1).write.format("noop").mode("overwrite").save()
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
-def hot_keys(counts: DataFrame, key: str, count: str, total: int) -> DataFrame:
-    """Keys so frequent that one task should not hold them: at most HOT_KEYS by construction."""
-    return counts.filter(F.col(count) >= F.lit(max(HOT_ROWS, -(-total // HOT_KEYS)))).select(key)
-
-
 def input_bytes(df: DataFrame) -> int:
     """Bytes of the tables that the plan reads, as far as their sizes are known."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
