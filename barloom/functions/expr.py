@@ -120,7 +120,7 @@ def blank_normalised(c: Column | str) -> Column:
 
 
 # Texts that stand for a missing text, lower case.
-PLACEHOLDERS = ("", "-", "--", "n/a", "na", "nan", "none", "null", "no news", "not available", "nil", "<na>")
+PLACEHOLDERS = ("", "-", "--", "n/a", "na", "nan", "none", "null", "no news", "no_news", "not available", "[]", "{}")
 
 
 def is_placeholder(c: Column | str) -> Column:
@@ -131,11 +131,3 @@ def sorted_union(c: Column) -> Column:
     """Aggregate: sorted distinct elements of an array column, nulls dropped.  Equal arrays are kept once
     while aggregating, so a group of many equal rows stays small."""
     return F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.array_sort(F.filter(c, lambda v: v.isNotNull()))))))
-
-
-def average_rank(partition: list[str], value: str, descending: bool = False) -> Column:
-    """Rank with ties at their mean; a null value ranks last and must be filtered by the caller."""
-    from pyspark.sql import Window
-
-    order = F.col(value).desc() if descending else F.col(value).asc()
-    return F.rank().over(Window.partitionBy(*partition).orderBy(order)).cast("double") + (F.count(F.lit(1)).over(Window.partitionBy(*partition, value)).cast("double") - 1) / 2

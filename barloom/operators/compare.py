@@ -41,9 +41,64 @@ def gains(df: DataFrame, keys: list[str], model: str, reference: str, metric: st
     return df.join(ref, keys).withColumn("gain", X.gain(F.col("reference_value"), F.col(metric), lower_is_better))
 
 
-def replicates(df: DataFrame, keys: list[str], seed: str, metric: str) -> DataFrame:
-    """Seeds are replicates, never a choice: mean, deviation and number per configuration."""
-    return df.groupBy(*keys).agg(F.avg(metric).alias("mean"), F.stddev_samp(metric).alias("std"), F.countDistinct(seed).alias("n_seeds"), F.min(metric).alias("least"), F.max(metric).alias("most"))
+def replicates(df: DataFrame, keys: list[str], repeats: list[str], metric: str) -> DataFrame:
+    """Seeds and folds are replicates, never a choice: mean, deviation and range of a metric per
+    configuration, its rows, and how many values of each repeat it has (`n_<repeat>`)."""
+    counts = [F.countDistinct(c).alias(f"n_{c}") for c in repeats]
+    return df.groupBy(*keys).agg(F.avg(metric).alias("mean"), F.stddev_samp(metric).alias("std"), F.min(metric).alias("least"), F.max(metric).alias("most"), F.count("*").alias("n_rows"), *counts)
+
+
+def completeness(df: DataFrame, family: list[str], configuration: list[str], repeats: list[str]) -> DataFrame:
+    """Whether a configuration has every repeat that its family has: the keys, `n_` and `expected_` per
+    repeat, complete.  A null repeat counts for nothing."""
+    own = df.groupBy(*family, *configuration).agg(*(F.countDistinct(c).alias(f"n_{c}") for c in repeats))
+    wanted = df.groupBy(*family).agg(*(F.countDistinct(c).alias(f"expected_{c}") for c in repeats))
+    ok = F.lit(True)
+    for c in repeats:
+        ok = ok & (F.col(f"n_{c}") >= F.col(f"expected_{c}"))
+    return own.join(wanted, family).withColumn("complete", ok)
+
+
+def top_families(df: DataFrame, group: list[str], family: str, metric: str, top: int, larger_is_better: bool = False) -> DataFrame:
+    """Families of a group by their mean over all repeats: group, family, mean_value, n_repeats, n_scored,
+    place, selected.  A family with a missing score is not placed and not selected; a group without any
+    fully scored family keeps all of them.  Ties go by the family's name."""
+    v = X.no_nan(metric)
+    own = df.groupBy(*group, family).agg(F.avg(v).alias("mean_value"), F.count("*").alias("n_repeats"), F.count(v).alias("n_scored"))
+    whole = F.col("n_scored") == F.col("n_repeats")
+    w = Window.partitionBy(*group)
+    order = w.partitionBy(*group, whole).orderBy(F.col("mean_value").desc() if larger_is_better else F.col("mean_value").asc(), family)
+    placed = own.withColumn("place", F.when(whole, F.row_number().over(order))).withColumn("__some", F.max(whole.cast("int")).over(w))
+    return placed.withColumn("selected", F.when(F.col("__some") == 0, F.lit(True)).otherwise(F.coalesce(F.col("place") <= top, F.lit(False)))).drop("__some")
+
+
+def preferred(df: DataFrame, keys: list[str], wanted: dict[str, float | None], quality: str, name: str, exact: tuple[str, ...] = ()) -> DataFrame:
+    """The row per group nearest to the wanted settings, in their order; `exact` settings either agree or
+    don't, a setting that is null on one side only is 10,000 away.  Quality (larger first), then the
+    name decides the rest."""
+    order = []
+    for c, v in wanted.items():
+        if c in exact:
+            order.append(F.when(F.col(c).eqNullSafe(F.lit(v)), 0).otherwise(1))
+        elif v is None:
+            order.append(F.when(F.col(c).isNull(), 0).otherwise(10_000))
+        else:
+            order.append(F.coalesce(F.abs(F.col(c) - F.lit(v)).cast("double"), F.lit(10_000.0)))
+    w = Window.partitionBy(*keys).orderBy(*order, F.col(quality).desc_nulls_last(), F.col(name).asc())
+    return df.withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r")
+
+
+def locked_grid(validation: DataFrame, test: DataFrame, keys: list[str], model: str, metric: str, real: list[str], placebo: list[str], lower_is_better: bool = True) -> DataFrame:
+    """Every real model against every placebo of a group, both locked on validation: their values and
+    relative gains on validation and test.  A pair without validation evidence is listed, not executed."""
+    pairs = validation.select(*keys).distinct().withColumn("real", F.explode(F.array(*map(F.lit, real)))).withColumn("placebo", F.explode(F.array(*map(F.lit, placebo))))
+    out = pairs
+    for part, name in ((validation, "validation"), (test, "test")):
+        for side in ("real", "placebo"):
+            out = out.join(part.select(*keys, F.col(model).alias(side), F.col(metric).alias(f"{side}_{name}")), [*keys, side], "left")
+    gain = {n: X.gain(F.col(f"placebo_{n}"), F.col(f"real_{n}"), lower_is_better) for n in ("validation", "test")}
+    done = F.col("real_validation").isNotNull() & F.col("placebo_validation").isNotNull()
+    return out.select(*keys, "real", "placebo", done.alias("executed"), *(F.col(f"{s}_{n}") for n in gain for s in ("real", "placebo")), *(g.alias(f"{n}_gain") for n, g in gain.items()), F.when(done, gain["validation"] > 0).alias("better_on_validation"))
 
 
 def grid_exactness(expected: DataFrame, observed: DataFrame, keys: list[str]) -> DataFrame:

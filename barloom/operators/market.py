@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions import expr as X
+from barloom.operators import prefix
+from barloom.session import written
 
 PRICES = ("open", "high", "low", "close")
 
@@ -130,12 +132,21 @@ def model_ready(frame: DataFrame, features: list[str], target: str = "target") -
     return frame.filter(ok)
 
 
-def distribution_table(panel: DataFrame, metrics: list[str], quantiles: tuple[float, ...] = (0.0, 0.01, 0.05, 0.5, 0.95, 0.99, 1.0)) -> DataFrame:
-    """Per entity and for all (__ALL__): count, mean, sample deviation and exact quantiles of each metric."""
-    long = panel.select("entity", *metrics).unpivot(["entity"], metrics, "metric", "value").filter("value is not null")
-    q = F.percentile("value", F.array(*map(F.lit, quantiles)))
-    wide = long.rollup("metric", "entity").agg(F.grouping("entity").alias("g"), F.grouping("metric").alias("m"), F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), q.alias("q"))
-    return wide.filter("m = 0").select(F.when(F.col("g") == 1, "__ALL__").otherwise(F.col("entity")).alias("entity"), "metric", "n", "mean", "std", *(F.col("q")[i].alias(f"q{p:g}".replace(".", "_")) for i, p in enumerate(quantiles)))
+# The quantiles of the distribution table.
+QUANTILES = (0.0, 0.001, 0.01, 0.05, 0.5, 0.95, 0.99, 0.999, 1.0)
+
+
+def distribution_table(panel: DataFrame, metrics: list[str], quantiles: tuple[float, ...] = QUANTILES) -> DataFrame:
+    """Per entity and for all (__ALL__): count, mean, sample deviation and exact quantiles of each metric.
+
+    An entity is bounded by its calendar; the quantiles over all come from counted values, so no task
+    holds them all.  A metric without values gives no row.
+    """
+    long = written(panel.select("entity", *metrics).unpivot(["entity"], metrics, "metric", "value").filter("value is not null"), "distribution")
+    stats = [F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std")]
+    own = long.groupBy("entity", "metric").agg(*stats, F.percentile("value", F.array(*map(F.lit, quantiles))).alias("q"))
+    pooled = long.groupBy("metric").agg(*stats).join(prefix.quantiles(long, ["metric"], "value", list(quantiles)), "metric").select(F.lit("__ALL__").alias("entity"), "metric", "n", "mean", "std", "q")
+    return own.unionByName(pooled).select("entity", "metric", "n", "mean", "std", *(F.col("q")[i].alias(f"q{p:g}".replace(".", "_")) for i, p in enumerate(quantiles)))
 
 
 def calendar_encodings(panel: DataFrame, date: str = "date") -> DataFrame:

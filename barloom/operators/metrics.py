@@ -12,42 +12,58 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions import expr as X
-from barloom.operators.prefix import running, with_ranks
+from barloom.operators.prefix import rank_over, running, with_ranks
+from barloom.session import written
 
 
 def paired(df: DataFrame, y: str, p: str) -> DataFrame:
     return df.withColumns({y: X.no_nan(y), p: X.no_nan(p)}).filter(F.col(y).isNotNull() & F.col(p).isNotNull())
 
 
-def regression(df: DataFrame, keys: list[str], y: str = "y", p: str = "p") -> DataFrame:
+def regression(df: DataFrame, keys: list[str], y: str = "y", p: str = "p", *, ranks: bool = True) -> DataFrame:
     """n, mae, mse, rmse, r2, pearson, spearman, qlike, huber and sign accuracies, in one pass but for
-    the ranks."""
+    the ranks (`ranks` = False leaves spearman out and needs no sort)."""
     a, b = F.col(y), F.col(p)
     e = a - b
     up, pup = a > 0, b > 0
-    both = with_ranks(with_ranks(paired(df, y, p), keys, y, "__ry"), keys, p, "__rp")
+    rows = paired(df.select(*keys, y, p), y, p)
+    more = []
+    if ranks:
+        rows = written(rows, "paired")
+        n = rows.count()
+        rows = with_ranks(with_ranks(rows, keys, y, "__ry", rows=n), keys, p, "__rp", rows=n)
+        more = [X.correlation(F.col("__ry"), F.col("__rp")).alias("spearman")]
     hit, miss = F.avg(F.when(up, pup.cast("double"))), F.avg(F.when(~up, (~pup).cast("double")))
-    return both.groupBy(*keys).agg(
+    return rows.groupBy(*keys).agg(
         F.count("*").alias("n"), F.avg(F.abs(e)).alias("mae"), F.avg(e * e).alias("mse"), F.sqrt(F.avg(e * e)).alias("rmse"), (1 - F.try_divide(F.sum(e * e), F.var_pop(a) * F.count("*"))).alias("r2"),
-        X.correlation(a, b).alias("pearson"), X.correlation(F.col("__ry"), F.col("__rp")).alias("spearman"), F.avg(X.qlike(a, b)).alias("qlike"), F.avg(X.huber(e)).alias("huber"),
+        X.correlation(a, b).alias("pearson"), *more, F.avg(X.qlike(a, b)).alias("qlike"), F.avg(X.huber(e)).alias("huber"),
         F.avg((up == pup).cast("double")).alias("sign_accuracy"), ((hit + miss) / 2).alias("balanced_sign_accuracy"), F.avg((F.signum(a) == F.signum(b)).cast("double")).alias("directional_accuracy"),
     )
 
 
+#: Places of one tie group whose discounts are added up at once.
+PLACES = 4_096
+
+
 def ranking(df: DataFrame, keys: list[str], unit: str, fraction: float = 0.1, y: str = "y", p: str = "p") -> DataFrame:
     """top_recall: share of the largest y among the largest p (ties by `unit`); ndcg with linear gain
-    on y shifted to a minimum of 0, tied predictions sharing their discount."""
-    rows = paired(df, y, p)
+    on y shifted to a minimum of 0, tied predictions sharing their discount (a tie group of any size
+    is added up in slices of its places)."""
+    rows = written(paired(df.select(*keys, unit, y, p), y, p), "paired")
+    n = rows.count()
     size = rows.groupBy(*keys).agg(F.count("*").alias("__m"), F.min(y).alias("__low"))
-    ranked = with_ranks(with_ranks(rows, keys, y, "__ry", descending=True), keys, p, "__rp", descending=True).join(size, keys)
+    ranked = with_ranks(with_ranks(rows, keys, y, "__ry", descending=True, rows=n), keys, p, "__rp", descending=True, rows=n).join(size, keys)
     top = F.greatest(F.lit(1.0), F.ceil(F.col("__m") * F.lit(fraction)))
     recall = ranked.groupBy(*keys).agg((F.count_if((F.col("__ry") <= top) & (F.col("__rp") <= top)) / F.first(top)).alias("top_recall"), F.first("__m").alias("n"))
+    shifted = rows.join(size, keys).withColumn("__g", F.col(y) - F.col("__low"))
 
     def gains(value: str, name: str) -> DataFrame:
-        tied = running(ranked.withColumn("__g", F.col(y) - F.col("__low")), keys, value, {"k": F.lit(1), "g": F.col("__g")}, descending=True)
-        places = F.sequence(F.col("before_k") + 1, F.col("before_k") + F.col("k"))
+        tied = running(shifted, keys, value, {"k": F.lit(1), "g": F.col("__g")}, descending=True)
+        slices = tied.select(*keys, "before_k", "k", "g", F.explode(F.expr(f"sequence(0L, (k - 1) div {PLACES})")).alias("__slice"))
+        first = F.col("before_k") + F.col("__slice") * PLACES + 1
+        places = F.sequence(first, F.least(first + PLACES - 1, F.col("before_k") + F.col("k")))
         discount = F.aggregate(places, F.lit(0.0), lambda s, i: s + 1 / F.log2(i.cast("double") + 1))
-        return tied.groupBy(*keys).agg(F.sum(F.col("g") / F.col("k") * discount).alias(name))
+        return slices.groupBy(*keys).agg(F.sum(F.col("g") / F.col("k") * discount).alias(name))
 
     both = gains(p, "__dcg").join(gains(y, "__ideal"), keys)
     return recall.join(both, keys).select(*keys, "n", "top_recall", F.try_divide(F.col("__dcg"), F.col("__ideal")).alias("ndcg"))
@@ -156,6 +172,23 @@ def uncertainty(df: DataFrame, keys: list[str], y: str = "y", mean: str = "mean"
     )
 
 
+def observation_loss(kind: str, y: str = "y", p: str = "p", *, scale: str = "scale", classes: int = 3) -> Column:
+    """Loss of one forecast by the kind of target: signed (QLIKE of logs), magnitude and squared
+    (squared error), spike (Brier), regime (Brier over `classes`, `p` an array), uncertainty (Gaussian
+    negative log likelihood with `scale`).  Null where an input is null."""
+    a, b = F.col(y), F.col(p)
+    if kind == "signed":
+        return X.qlike(a, b)
+    if kind in ("magnitude", "squared", "spike"):
+        return (a - b) * (a - b)
+    if kind == "regime":
+        return sum(((b[k] - F.when(a.isNotNull(), (a == k).cast("double"))) * (b[k] - (a == k).cast("double")) for k in range(1, classes)), (b[0] - (a == 0).cast("double")) * (b[0] - (a == 0).cast("double")))
+    if kind == "uncertainty":
+        z = (a - b) / F.col(scale)
+        return F.lit(0.5 * math.log(2 * math.pi)) + F.ln(scale) + 0.5 * z * z
+    raise ValueError(kind)
+
+
 def _xlog(k: Column, p: Column) -> Column:
     return F.when(k == 0, F.lit(0.0)).otherwise(k * F.ln(p))
 
@@ -187,10 +220,12 @@ def christoffersen(df: DataFrame, keys: list[str], series: str, order: str, hit:
 
 def daily_ic(df: DataFrame, keys: list[str], entity: str, date: str = "date", y: str = "y", p: str = "p") -> DataFrame:
     """Per date: Spearman correlation, overlap of the three highest and lowest by average rank (over 3),
-    and sign agreement."""
+    and sign agreement.  A date's cross-section is ranked by windows: one shuffle and two sorts."""
+    from pyspark.sql import Window
+
     by = [*keys, date]
-    rows = with_ranks(with_ranks(paired(df, y, p), by, y, "ra", descending=True), by, p, "rp", descending=True)
-    rows = rows.join(rows.groupBy(*by).agg(F.count("*").alias("m")), by)
+    rows = paired(df.select(*by, entity, y, p), y, p)
+    rows = rows.select(*by, entity, y, p, rank_over(by, y, descending=True).alias("ra"), rank_over(by, p, descending=True).alias("rp"), F.count("*").over(Window.partitionBy(*by)).alias("m"))
     ra, rp, low = F.col("ra"), F.col("rp"), F.col("m") - 3
     return rows.groupBy(*by).agg(
         F.countDistinct(entity).alias("n_entities"), X.correlation(ra, rp).alias("daily_ic"), (F.count_if((ra <= 3) & (rp <= 3)) / 3).alias("top3"), (F.count_if((ra > low) & (rp > low)) / 3).alias("bottom3"),

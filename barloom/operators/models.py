@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barloom.operators.prefix import quantiles
 from barloom.session import written
 
 
@@ -187,7 +188,12 @@ def fit_ridge(df: DataFrame, features: list[str], target: str, alpha: float, sta
     """(X'X + alpha I) w = X'y on centred (and population-scaled) features; the intercept is not
     penalised.  Rows with a null or non-finite value do not count; constant features get weight 0."""
     d = len(features)
-    m = moments(column_vector(df.select(*features, target), [*features, target]), "__x", d + 1)
+    return solve_ridge(moments(column_vector(df.select(*features, target), [*features, target]), "__x", d + 1), features, alpha, standardize)
+
+
+def solve_ridge(m: np.ndarray, features: list[str], alpha: float, standardize: bool) -> Linear:
+    """The ridge of a moment matrix of features and target."""
+    d = len(features)
     n = max(m[0, 0], 1.0)
     mean = m[0, 1:] / n
     cov = m[1:, 1:] - n * np.outer(mean, mean)
@@ -242,8 +248,12 @@ def fit_preparation(train: DataFrame, numeric: list[str], categorical: list[str]
     """Medians for missing numbers, an indicator where train has missing ones, population scaling after
     filling, one column per train category.  More than `most` categories are an error: they would not
     be a bounded model."""
-    mid = train.agg(*(F.percentile(c, F.lit(0.5)).alias(c) for c in numeric), *(F.count_if(F.col(c).isNull()).alias(f"__m_{c}") for c in numeric)).first() if numeric else None
-    filled = {c: F.coalesce(F.col(c).cast("double"), F.lit(float(mid[c] if mid[c] is not None else 0.0))) for c in numeric}
+    mid, missing = {}, {}
+    if numeric:
+        long = train.select(*(F.col(c).cast("double").alias(c) for c in numeric)).unpivot([], numeric, "__column", "__value")
+        mid = {r[0]: r[1][0] for r in quantiles(long, ["__column"], "__value", [0.5]).collect()}  # one row per column
+        missing = train.agg(*(F.count_if(F.col(c).isNull()).alias(c) for c in numeric)).first().asDict()
+    filled = {c: F.coalesce(F.col(c).cast("double"), F.lit(float(mid.get(c, 0.0)))) for c in numeric}
     stat = train.agg(*(F.avg(v).alias(f"a_{c}") for c, v in filled.items()), *(F.stddev_pop(v).alias(f"s_{c}") for c, v in filled.items())).first() if numeric else None
     categories = {}
     for c in categorical:
@@ -251,7 +261,7 @@ def fit_preparation(train: DataFrame, numeric: list[str], categorical: list[str]
         if len(found) > most:
             raise ValueError(f"{c} has more than {most} categories")
         categories[c] = sorted(found)
-    return Prepared({c: (float(mid[c] or 0.0), float(stat[f"a_{c}"] or 0.0), float(stat[f"s_{c}"] or 0.0) or 1.0) for c in numeric}, [c for c in numeric if mid[f"__m_{c}"]], categories)
+    return Prepared({c: (float(mid.get(c, 0.0)), float(stat[f"a_{c}"] or 0.0), float(stat[f"s_{c}"] or 0.0) or 1.0) for c in numeric}, [c for c in numeric if missing[c]], categories)
 
 
 def prepare(df: DataFrame, how: Prepared) -> DataFrame:
@@ -410,3 +420,31 @@ def match_centers(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, float]]:
             j0 = way[j0]
     pairs = [(int(p[j]) - 1, j - 1) for j in range(1, m + 1) if p[j]]
     return sorted(((j, i, float(-c[i, j])) if flip else (i, j, float(-c[i, j]))) for i, j in pairs)
+
+
+def choose_alpha(train: DataFrame, validation: DataFrame, features: list[str], target: str, alphas: tuple[float, ...]) -> tuple[Linear, list[tuple[float, float]]]:
+    """The ridge whose validation error, as the mean over offsets of their mean absolute errors, is least
+    (ties to the smaller penalty): the model and (alpha, error) of each.  The moments are the same for
+    every penalty, so train is read once; `validation` has a column `offset`."""
+    d = len(features)
+    m = moments(column_vector(train.select(*features, target), [*features, target]), "__x", d + 1)
+    fits = [(a, solve_ridge(m, features, a, False)) for a in sorted(alphas)]
+    rows = validation
+    for k, (_, model) in enumerate(fits):
+        rows = predict_linear(rows, model, f"__p{k}")
+    per = rows.groupBy("offset").agg(*(F.avg(F.abs(F.col(target) - F.col(f"__p{k}"))).alias(f"e{k}") for k in range(len(fits))))
+    means = per.agg(*(F.avg(f"e{k}").alias(f"e{k}") for k in range(len(fits)))).first()
+    errors = [(a, float("inf") if means[f"e{k}"] is None else float(means[f"e{k}"])) for k, (a, _) in enumerate(fits)]
+    best = min(range(len(fits)), key=lambda k: (errors[k][1], errors[k][0]))
+    return fits[best][1], errors
+
+
+def ridge_gradient(df: DataFrame, model: Linear, target: str, alpha: float) -> float:
+    """The largest entry of the penalised normal equations' residual, over the number of rows: 0 at the fit."""
+    d = len(model.features)
+    m = moments(column_vector(df.select(*model.features, target), [*model.features, target]), "__x", d + 1)
+    n = max(m[0, 0], 1.0)
+    full = np.concatenate([[model.intercept], model.weights])
+    left = m[: d + 1, : d + 1] @ full - m[: d + 1, d + 1]
+    left[1:] += alpha * model.weights
+    return float(np.abs(left).max() / n)

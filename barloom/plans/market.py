@@ -167,15 +167,17 @@ def model_ready(spark, sf_dir):
     return ready(spark, sf_dir).groupBy("entity").agg(F.count("*").alias("n_ready"), F.min("date").alias("first_date"), F.max("target_date").alias("last_target"))
 
 
-_Q = (0.0, 0.01, 0.05, 0.5, 0.95, 0.99, 1.0)
-_DIST = ", ".join(f"round(quantile_cont(value, {q}), 6) AS q{f'{q:g}'.replace('.', '_')}" for q in _Q)
+_DIST = ", ".join(f"round(quantile_cont(value, {q}), 6) AS q{q.replace('.', '_')}" for q in ("0", "0.001", "0.01", "0.05", "0.5", "0.95", "0.99", "0.999", "1"))
+_METRICS = {"gk_variance_raw": "gk_raw", "gk_variance": "greatest(gk_raw, 1e-12)", "log_variance": "log_variance", "parkinson_variance": "greatest(parkinson_raw, 1e-12)", "log_parkinson": "log_parkinson"}
 
 
-@query(f"""WITH {VOL}, long AS (SELECT entity, 'log_variance' AS metric, log_variance AS value FROM vol UNION ALL SELECT entity, 'log_parkinson', log_parkinson FROM vol),
+@query(f"""WITH {VOL}, long AS ({" UNION ALL ".join(f"SELECT entity, '{k}' AS metric, {v} AS value FROM vol" for k, v in _METRICS.items())}),
   everything AS (SELECT * FROM long UNION ALL SELECT '__ALL__', metric, value FROM long)
   SELECT entity, metric, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, {_DIST} FROM everything GROUP BY entity, metric""")
 def distribution_table(spark, sf_dir):
-    return rounded(M.distribution_table(vol(spark, sf_dir), ["log_variance", "log_parkinson"], _Q), 6)
+    floor = F.lit(X.EPSILON)
+    panel = vol(spark, sf_dir).select("entity", F.col("gk_raw").alias("gk_variance_raw"), F.greatest("gk_raw", floor).alias("gk_variance"), "log_variance", F.greatest("parkinson_raw", floor).alias("parkinson_variance"), "log_parkinson")
+    return rounded(M.distribution_table(panel, ["gk_variance_raw", "gk_variance", "log_variance", "parkinson_variance", "log_parkinson"]), 6)
 
 
 @query("""SELECT DISTINCT feature_date AS date, round(sin((dayofweek(feature_date) + 6) % 7 * 2 * pi() / 7), 8) AS dow_sin, round(cos((dayofweek(feature_date) + 6) % 7 * 2 * pi() / 7), 8) AS dow_cos,

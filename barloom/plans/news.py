@@ -15,7 +15,8 @@ from barloom.plans.market import UNIVERSE
 ALL = sorted(UNIVERSE)
 LIST = "[" + ", ".join(f"'{t}'" for t in ALL) + "]"
 BLANK = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
-HOLDERS = ", ".join(f"'{p}'" for p in X.PLACEHOLDERS)
+# Stated here once more, so that the SQL doesn't rest on the operator's list.
+HOLDERS = "'', '-', '--', 'n/a', 'na', 'nan', 'none', 'null', 'no news', 'no_news', 'not available', '[]', '{}'"
 OCC = f"""cleaned AS (SELECT source_row_number, CAST(feature_date AS DATE) AS date, lower(trim(news_level)) AS news_level, upper(trim(ticker)) AS source_ticker,
     trim(regexp_replace(regexp_replace(text, '[\\x{{200B}}\\x{{FEFF}}]', '', 'g'), '{BLANK}', ' ', 'g')) AS text
   FROM inspect_schema WHERE text IS NOT NULL AND news_level IS NOT NULL AND ticker IS NOT NULL AND feature_date IS NOT NULL),

@@ -10,6 +10,7 @@ from barloom.operators import market as M
 from barloom.operators import splits as S
 from barloom.plans.catalog import query, r, rounded, table
 from barloom.plans.market import CALENDAR, READY, VOL, ready, vol
+from barloom.session import written
 
 BLOCKS = """days AS (SELECT {d} AS d, row_number() OVER (ORDER BY {d}) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT {d} FROM {t} WHERE {d} IS NOT NULL)),
 cuts AS (SELECT d, i, n, least(greatest(floor(n * 0.6::DOUBLE), 1), n - 2) AS a FROM days WHERE n >= 3),
@@ -74,9 +75,13 @@ def forward_mean_loo(spark, sf_dir):
     return rounded(relative(spark, sf_dir), 7)
 
 
-@query("SELECT * FROM (VALUES ('unique_entity_date'), ('finite_target'), ('outcome_after_date'), ('outcome_ordered'), ('relative_is_difference'), ('leave_one_out_algebra'), ('cross_section')) v(\"check\") CROSS JOIN (VALUES (true, 0::BIGINT)) w(passed, n_violations)")
+NINE = ("unique_entity_date", "sorted_date_entity", "finite_target", "forward_mean_recomputed", "dates_strictly_ahead", "leave_one_out_excludes_self", "leave_one_out_algebra", "demeaned_daily_sum", "cross_section")
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{c}')" for c in NINE) + ") v(\"check\") CROSS JOIN (VALUES (true, 0::BIGINT)) w(passed, n_violations)")
 def target_invariants(spark, sf_dir):
-    return L.audit_target(relative(spark, sf_dir))
+    panel = written(vol(spark, sf_dir).select("entity", "date", "log_variance"), "vol")
+    return L.audit_target(L.peer_relative(L.forward_windows(panel)), panel)
 
 
 PURGE = f"""{FORWARD}, {BLOCKS.format(d='date', t='rel')}, anchored AS (SELECT rel.*, blocks.split FROM rel JOIN blocks ON rel.date = d),

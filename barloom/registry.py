@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.operators import anomalies
-from barloom.plans import catalog, fitted, forecasts, market, news, representations, targets  # noqa: F401  (plans register their queries)
+from barloom.plans import catalog, fitted, forecasts, market, news, representations, selection, targets  # noqa: F401  (plans register their queries)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

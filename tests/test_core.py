@@ -54,16 +54,27 @@ def test_running_and_ranks_with_ties(spark):
     rows = [(int(g), float(v)) for g, v in zip(rng.integers(0, 3, 500), rng.integers(0, 40, 500))]
     df = spark.createDataFrame(rows + [(0, None)], "g int, v double").withColumn("i", F.monotonically_increasing_id())
     for descending in (False, True):
-        for r in running(df, ["g"], "v", {"n": F.lit(1)}, descending=descending, buckets=7).collect():
+        for r in running(df, ["g"], "v", {"n": F.lit(1)}, descending=descending, limit=20).collect():
             own = [v for g, v in rows if g == r.g]
             assert r.before_n == sum(v > r.v if descending else v < r.v for v in own)
             assert r.n == own.count(r.v)
-    ranked = with_ranks(df, ["g"], "v", "rank").collect()
-    assert len(ranked) == 501
-    for r in ranked:
-        own = [v for g, v in rows if g == r.g]
-        expected = None if r.v is None else sum(v < r.v for v in own) + (own.count(r.v) + 1) / 2
-        assert r["rank"] == expected
+    for limit in (20, 1_000):
+        ranked = with_ranks(df, ["g"], "v", "rank", limit=limit).collect()
+        assert len(ranked) == 501
+        for r in ranked:
+            own = [v for g, v in rows if g == r.g]
+            expected = None if r.v is None else sum(v < r.v for v in own) + (own.count(r.v) + 1) / 2
+            assert r["rank"] == expected
+
+
+def test_ranking_of_a_constant_prediction(spark):
+    """One tie group larger than a slice of places: every row gets the mean discount, so ndcg is known."""
+    n = 20_000
+    df = spark.range(n).select(F.lit("m").alias("model"), "id", (F.col("id") % 10).cast("double").alias("y"), F.lit(0.5).alias("p"))
+    row = metrics.ranking(df, ["model"], "id").first()
+    discount = 1 / np.log2(np.arange(1, n + 1) + 1)
+    gain = np.sort(np.arange(n) % 10)[::-1]
+    assert abs(row.ndcg - gain.sum() / n * discount.sum() / (gain * discount).sum()) < 1e-9
 
 
 def test_metrics_by_hand(spark):
