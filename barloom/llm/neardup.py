@@ -39,6 +39,9 @@ SHORT = 40
 #: Prints of one task that are remembered to keep a class from being told twice.
 REMEMBERED = 1 << 18
 
+#: Where the id begins in the card of a class: behind print, side and sketch.
+ID = 17 + SKETCH_BITS // 8
+
 ROWS = "hi long, lo long, card binary"
 FOUND = "kind int, a long, b long, card binary"
 
@@ -81,8 +84,9 @@ def _rows_of(batches: Iterator[pa.RecordBatch], width: int, rows: int, bands: in
 
     Band rows have no card: hi is the bucket's key and the upper bits of the class's short print, lo
     its lower bits and the side, all of it as tight as it can be, for there are `bands` of them to
-    each class.  Members (lo 0, card: print, side, id) go anywhere, so a class of any size is spread.
-    Classes (lo 1, card: print, sketch, id) go by their print, once per task that meets them.
+    each class.  A text whose class is new to the task tells it (lo 1, card: print, side, sketch, id)
+    and goes by its print.  Others (lo 0, card: print, side, id) go anywhere, so a class of any size
+    is spread.
     """
     seen: dict[bytes, int] = {}
     count = 0
@@ -103,19 +107,21 @@ def _rows_of(batches: Iterator[pa.RecordBatch], width: int, rows: int, bands: in
             prints = K.set_prints(value, bounds)
             wide, short = _prints(prints)
             own = ids.slice(part.start, part.stop - part.start).take(pa.array(full))
-            yield cards(K.mix(np.arange(count, count + len(full), dtype=np.uint64)), 0, _binary(wide), _binary(side[:, None]), own)
-            count += len(full)
-            fresh = []
+            new = np.zeros(len(full), bool)
             for k, (p, s) in enumerate(zip(_binary(wide).to_pylist(), side.tolist())):
                 if (old := seen.get(p, -1)) < 0 or old | s != old:
                     seen[p] = max(old, 0) | s
-                    fresh.append(k)
+                    new[k] = True
             if len(seen) > REMEMBERED:
                 seen.clear()
-            if not fresh:
+            fresh, known = np.flatnonzero(new), np.flatnonzero(~new)
+            if len(known):
+                yield cards(K.mix(np.arange(count, count + len(known), dtype=np.uint64)), 0, _binary(wide[known]), _binary(side[known, None]), own.take(pa.array(known)))
+                count += len(known)
+            if not len(fresh):
                 continue
             signature = K.minhash(value, bounds, rows * bands)[fresh]
-            yield cards(K.mix(prints[fresh, 0]), 1, _binary(wide[fresh]), _binary(K.odd_sketch(signature, SKETCH_BITS)), own.take(pa.array(fresh)))
+            yield cards(K.mix(prints[fresh, 0]), 1, _binary(wide[fresh]), _binary(side[fresh, None]), _binary(K.odd_sketch(signature, SKETCH_BITS)), own.take(pa.array(fresh)))
             keys, low = K.band_keys(signature, rows), SHORT - 16
             name = short[fresh].astype(np.uint64)[:, None]
             hi = (keys << np.uint64(16)) | (name >> np.uint64(low))
@@ -158,8 +164,8 @@ def _pairs_of_groups(key: np.ndarray, value: np.ndarray, side: np.ndarray, sided
 
 
 def _buckets(batches: Iterator[pa.RecordBatch], sided: bool, limit: int) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by hi: kind 0 = classes, once each, 1 = pairs of classes, 2 = classes of hot
-    buckets (all by short prints), 3 = members with their side in b."""
+    """From rows sorted by hi: kind 0 = a first member for each class, 1 = pairs of classes, 2 = classes
+    of hot buckets (all by short prints), 3 = other members, their card without the sketch."""
     names = ["kind", "a", "b", "card"]
 
     def out(kind: int, a: np.ndarray, b: np.ndarray, card: pa.Array | None = None) -> pa.RecordBatch:
@@ -180,19 +186,21 @@ def _buckets(batches: Iterator[pa.RecordBatch], sided: bool, limit: int) -> Iter
         carded = batch.filter(batch.column(2).is_valid())
         if carded.num_rows:
             kind = carded.column(1).to_numpy()
-            member = carded.column(2).filter(pa.array(kind == 0))
-            if n := len(member):
-                yield out(3, np.zeros(n, np.int64), np.frombuffer(b"".join(pc.binary_slice(member, 16, 17).to_pylist()), np.uint8).astype(np.int64), member)
-            cards, keep, short = carded.column(2).filter(pa.array(kind == 1)), [], []
-            for k, (hi, card) in enumerate(zip(carded.column(0).to_numpy()[kind == 1].tolist(), cards.to_pylist())):
+            rest = carded.column(2).filter(pa.array(kind == 0)).to_pylist()
+            cards, short = [], []
+            for hi, card in zip(carded.column(0).to_numpy()[kind == 1].tolist(), carded.column(2).filter(pa.array(kind == 1)).to_pylist()):
                 if hi != at:
                     at, told = hi, set()
-                if (name := card[:16]) not in told:
+                if (name := card[:16]) in told:
+                    rest.append(card[:17] + card[ID:])
+                else:
                     told.add(name)
-                    keep.append(k)
+                    cards.append(card)
                     short.append(int.from_bytes(name[: SHORT // 8], "big"))
-            if keep:
-                yield out(0, np.array(short, np.int64), np.array(short, np.int64), cards.take(pa.array(keep)))
+            if cards:
+                yield out(0, np.array(short, np.int64), np.array(short, np.int64), pa.array(cards, pa.binary()))
+            if rest:
+                yield out(3, np.zeros(len(rest), np.int64), np.zeros(len(rest), np.int64), pa.array(rest, pa.binary()))
         band = batch.filter(batch.column(2).is_null())
         hi, lo = band.column(0).to_numpy(), band.column(1).to_numpy()
         key, value, side = (np.concatenate(x) for x in zip(carry, (hi >> 16, ((hi & 0xFFFF) << low) | (lo >> 2), lo & 3)))
@@ -301,10 +309,10 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, *, width: int = 5
     # a class has `bands` rows of about 15 bytes, however long its text
     found = written(gathered(keyed, F.shiftright("hi", 16), size=3 * size).sortWithinPartitions("hi").mapInArrow(partial(_buckets, sided=bool(side_col), limit=bucket), FOUND), "buckets")
     release(spark)
-    name, rest = F.expr("substring(card, 1, 16)"), 17 + SKETCH_BITS // 8
-    members = found.filter("kind = 3").select(F.expr("cast(substring(card, 18) as string)").alias("id"), name.alias("print"), F.col("b").cast("int").alias("side"))
-    classes = found.filter("kind = 0").select(F.col("a").alias("short"), name.alias("print"), F.expr(f"substring(card, 17, {SKETCH_BITS // 8})").alias("sketch"), F.expr(f"cast(substring(card, {rest}) as string)").alias("id"))
-    candidates = found.filter("kind = 1").select("a", "b").distinct()
+    name, of_id = F.expr("substring(card, 1, 16)"), F.expr(f"cast(substring(card, if(kind = 0, {ID + 1}, 18)) as string)")
+    members = found.filter("kind in (0, 3)").select(of_id.alias("id"), name.alias("print"), F.ascii(F.expr("cast(substring(card, 17, 1) as string)")).alias("side"))
+    classes = found.filter("kind = 0").select(F.col("a").alias("short"), name.alias("print"), F.expr(f"substring(card, 18, {SKETCH_BITS // 8})").alias("sketch"), of_id.alias("id"))
+    candidates = written(found.filter("kind = 1").select("a", "b").distinct(), "candidates")
     hot = found.filter("kind = 2").select(F.col("a").alias("short")).distinct()
 
     def matched(pairs: DataFrame, by: str) -> DataFrame:
@@ -320,7 +328,8 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, *, width: int = 5
         wide = written(classes.join(hot, "short", "left_semi").select("print", "id"), "hot")
         grams = wide.join(maybe_in(texts.select("id", "text"), "id", wide, "id"), "id").dropDuplicates(["id", "print"]).select("print", "text")
         grams = grams.mapInArrow(partial(_grams_of, width=width), "print binary, size long, gram long")
-        both = both.union(matched(prefix_pairs(written(grams, "grams"), threshold), "print")).dropDuplicates(["a", "b"])
+        close = written(prefix_pairs(written(grams, "grams"), threshold), "close")
+        both = both.union(matched(close, "print")).dropDuplicates(["a", "b"])
     likely = written(both.mapInArrow(partial(_sketched, threshold=threshold, samples=rows * bands), "a binary, b binary, id_a string, id_b string"), "likely")
     release(spark)
     bare = maybe_in(texts.select("id", "text"), "id", likely.select("id_a").union(likely.select("id_b")).distinct(), "id_a").dropDuplicates(["id"])
