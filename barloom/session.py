@@ -94,6 +94,14 @@ def gathered(df: DataFrame, *keys: str | Column, size: int, share: int = 256 <<
     return df.repartition(*keys)
 
 
+def ranged(df: DataFrame, key: str, *, size: int, share: int = 256 << 20) -> DataFrame:
+    """Rows in ranges of a key, equal keys together; as many partitions as `gathered` takes."""
+    least = -(-size // share)
+    if least > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        return df.repartitionByRange(least, key)
+    return df.repartitionByRange(key)
+
+
 def spread(df: DataFrame, small: int = 32 << 20) -> DataFrame:
     """A table of one small file is one task, whatever it costs per row: deal its rows to all cores.
 
