@@ -2,12 +2,15 @@
 
 A text is reduced to its words (case, blanks and punctuation gone); a text made only of
 `Name: value` fields is reduced to its sorted fields.  Canonical texts are partitioned by their
-leading bytes; a bucket that is too large is split by further bytes behind its common prefix until
-each fits, and every bucket is counted in a trie whose terminals hold the copies and the kept id.
+bytes: Spark's range partitioning is the first digit, and inside a task, which sees its range in
+order, a bucket that is too large is split by further bytes behind its common prefix until each
+fits.  Every bucket is counted in a trie whose terminals hold the copies and the kept id.  Buckets
+have the same size whatever the size of the data, and the driver holds no table of them.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -20,12 +23,10 @@ from pyspark.sql import functions as F
 
 from barloom.llm import kernel as K
 from barloom.llm.neardup import pieces
-from barloom.session import HOT_KEYS, HOT_ROWS, release, spread, written
+from barloom.session import HOT_KEYS, HOT_ROWS, input_bytes, ranged, release, spread, written
 
-#: Different texts in one radix bucket from which it is split further, and the bytes looked at in one
-#: round to find a bucket's common prefix.
+#: Different texts in one radix bucket from which it is split further.
 BUCKET = 50_000
-LOOK = 48
 #: Bytes of one step in a trie.
 STRIDE = 8
 
@@ -147,62 +148,65 @@ class Trie:
                     open_.append((path + step, child))
 
 
-def _placed(batches: Iterator[pa.RecordBatch], leaves: dict[bytes, int], lengths: list[int]) -> Iterator[pa.RecordBatch]:
-    """The bucket of each form: its longest prefix among the leaves."""
-    for batch in batches:
-        bucket = []
-        for form in batch.column(0).to_pylist():
-            bucket.append(next((b for n in lengths if (b := leaves.get(form[:n])) is not None), -1))
-        yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), *batch.columns], ["bucket", "form", "id", "n"])
-
+def common_prefix(a: bytes, b: bytes) -> int:
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    low, high = 0, n  # a[:low] == b[:low], a[:high] != b[:high]
+    while high - low > 1:
+        mid = (low + high) // 2
+        low, high = (mid, high) if a[:mid] == b[:mid] else (low, mid)
+    return low
+
+
+def radix_split(forms: list[bytes]) -> list[tuple[int, int]]:
+    """Slices of sorted forms by the byte behind their common prefix (none counts as the first byte)."""
+    at = common_prefix(forms[0], forms[-1])
+    cuts, begin = [], 0
+    while begin < len(forms):
+        head = forms[begin][: at + 1]
+        end = begin + 1
+        if len(head) == at + 1:  # all forms that go on with this byte
+            end = bisect.bisect_left(forms, head[:-1] + bytes([head[-1] + 1]) if head[-1] < 255 else b"\xff" * (max(map(len, forms[begin:])) + 1), begin)
+        cuts.append((begin, end))
+        begin = end
+    return cuts
+
+
+def _counted(batches: Iterator[pa.RecordBatch], bucket: int) -> Iterator[pa.RecordBatch]:
+    """Forms that more than one row has, from rows sorted by form.
+
+    Open forms are kept as [count, least id]; when they are more than a bucket holds, all buckets of
+    the next byte but the last one are complete, so they are counted and let go.
+    """
+    forms: list[bytes] = []
+    facts: list[list] = []
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Forms that more than one row has, from rows sorted by bucket."""
-    trie, now = Trie(), None
+    def count(begin: int, end: int) -> Iterator[tuple[bytes, int, str]]:
+        trie = Trie()
+        for k in range(begin, end):
+            trie.add(forms[k], *facts[k])
+        return trie.terminals()
 
-    def done():
-        many = [(_digest(k), n, i) for k, n, i in trie.terminals() if n > 1]
-        return pa.RecordBatch.from_arrays([pa.array([m[0] for m in many], pa.binary()), pa.array([m[1] for m in many], pa.int64()), pa.array([m[2] for m in many], pa.string())], ["digest", "n_copies", "kept"])
+    def out(found: list[tuple[bytes, int, str]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([_digest(f[0]) for f in found], pa.binary()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.string())], ["digest", "n_copies", "kept"])
 
     for batch in batches:
-        for b, form, i, n in zip(*(batch.column(k).to_pylist() for k in range(4))):
-            if b != now:
-                if now is not None:
-                    yield done()
-                trie, now = Trie(), b
-            trie.add(form, n, i)
-    yield done()
-
-
-def radix_leaves(forms: DataFrame, total: int, bucket: int = BUCKET) -> dict[bytes, int]:
-    """Prefixes of the final buckets.  Each round counts the children of the oversized buckets only.
-
-    The limit rises with the data, so at most 2,048 buckets are oversized in a round and what the
-    driver holds stays bounded.  A bucket of one single form is final whatever its size: it holds at
-    most one row per input partition.
-    """
-    limit = max(bucket, -(-total // 2048))
-    leaves: dict[bytes, int] = {}
-    oversized: dict[bytes, int] = {b"": 2}  # prefix -> length of its children's prefixes
-    level = forms.select("form")
-    while oversized:
-        plan = level.sparkSession.createDataFrame([(bytearray(p), len(p), n) for p, n in oversized.items()], "prefix binary, size int, longer int")
-        size = {len(p) for p in oversized}
-        matched = None
-        for n in size:
-            part = level.join(F.broadcast(plan.filter(F.col("size") == n)), F.substring("form", 1, n) == F.col("prefix"))
-            matched = part if matched is None else matched.union(part)
-        look = F.expr(f"substring(form, longer + 1, {LOOK})")
-        children = matched.select(F.expr("substring(form, 1, longer)").alias("child"), look.alias("look")).groupBy("child").agg(F.count("*").alias("n"), F.min("look").alias("low"), F.max("look").alias("high")).collect()
-        oversized = {}
-        for c in children:
-            child, low, high = bytes(c.child), bytes(c.low), bytes(c.high)
-            common = next((k for k, (x, y) in enumerate(zip(low, high)) if x != y), min(len(low), len(high)))
-            if c["n"] <= limit or (low == high and len(low) < LOOK):
-                leaves[child] = len(leaves)
+        for form, i, n in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            if forms and forms[-1] == form:
+                facts[-1][0] += n
+                facts[-1][1] = min(facts[-1][1], i)
             else:
-                oversized[child] = len(child) + common + 2
-    return leaves
+                forms.append(form)
+                facts.append([n, i])
+        while len(forms) > bucket:
+            cuts = radix_split(forms)  # at least two, for the forms differ
+            for begin, end in cuts[:-1]:
+                yield out([f for f in count(begin, end) if f[1] > 1])
+            last = cuts[-1][0]
+            forms, facts = forms[last:], facts[last:]
+    if forms:
+        yield out([f for f in count(0, len(forms)) if f[1] > 1])
 
 
 def layout_duplicates(df: DataFrame, id_col: str, text_col: str, *, bucket: int = BUCKET) -> tuple[DataFrame, DataFrame]:
@@ -217,10 +221,7 @@ def layout_duplicates(df: DataFrame, id_col: str, text_col: str, *, bucket: int
     rows = written(spread(texts).mapInArrow(_forms, "kind int, id string, digest binary, form binary, n long"), "forms")
     forms = rows.filter("kind = 1").select("form", "id", "n")
     members = rows.filter("kind = 0").select("id", "digest")
-    leaves = radix_leaves(forms, max(forms.count(), 1), bucket)
-    lengths = sorted({len(p) for p in leaves}, reverse=True)
-    placed = forms.mapInArrow(partial(_placed, leaves=leaves, lengths=lengths), "bucket long, form binary, id string, n long")
-    counted = placed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_counted, "digest binary, n_copies long, kept string")
+    counted = ranged(forms, "form", size=input_bytes(forms)).sortWithinPartitions("form").mapInArrow(partial(_counted, bucket=bucket), "digest binary, n_copies long, kept string")
     kept = written(counted, "kept")
     release(spark)
     return kept, members
