@@ -108,14 +108,14 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shared = spans.shared_spans(table(spark, sf_dir, "documents"), "doc_id", "text", length=200)
+    shared = spans.shared_spans(table(spark, sf_dir, "documents"), "doc_id", "text", length=200, pairs=False)
     return spans.shared_shares(shared).withColumnRenamed("id", "doc_id")
 
 
 def p9_shares_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shares of every document, those shorter than a run included."""
     docs = table(spark, sf_dir, "documents")
-    return spans.all_shares(spans.shared_spans(docs, "doc_id", "text", length=200), docs, "doc_id", "text", length=200).withColumnRenamed("id", "doc_id")
+    return spans.all_shares(spans.shared_spans(docs, "doc_id", "text", length=200, pairs=False), docs, "doc_id", "text", length=200).withColumnRenamed("id", "doc_id")
 
 
 def p9_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from barloom.llm import kernel as K
 from barloom.llm.neardup import _pairs_of_groups, _signed, pieces
 from barloom.operators.prefilter import maybe_in
-from barloom.session import release, spread, written
+from barloom.session import discard, gathered, input_bytes, release, spread, written
 
 #: Different texts in one digest group from which its anchors are widened to exact windows.
 GROUP = 64
@@ -85,7 +85,7 @@ def _groups(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Record
 
 
 def _around(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """All windows of `length` characters that hold one of the given anchors: digest, print."""
+    """All windows of `length` characters that hold one of the given anchors: digest, print, place."""
     gram = length // 2
     for batch in batches:
         for print_, text, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
@@ -93,8 +93,7 @@ def _around(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
             h = K.window_hashes(codes[:-1], length)
             begin = np.unique((np.array(places, np.int64)[:, None] - np.arange(length - gram + 1)).ravel())
             begin = begin[(begin >= 0) & (begin < len(h))]
-            digest = np.unique(h[begin])
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(digest)), pa.array(np.full(len(digest), print_, np.int64)), pa.array(np.zeros(len(digest), np.int64))], ["digest", "print", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(h[begin])), pa.array(np.full(len(begin), print_, np.int64)), pa.array(begin)], ["digest", "print", "place"])
 
 
 def _merged(begin: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -103,36 +102,77 @@ def _merged(begin: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return begin[np.concatenate([[0], gap + 1])], begin[np.concatenate([gap, [len(begin) - 1]])] + length
 
 
+#: Characters of texts whose window hashes a task keeps for the next pairs.
+KEPT = 8_000_000
+
+
 def _checked(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Verified pairs with the spans of each text that stand in the other."""
+    """Verified pairs with the spans of each text that stand in the other.
+
+    Window hashes find the spans, their characters are then compared; hashes of texts that recur in
+    neighbouring pairs are kept.
+    """
+    kept: dict[int, np.ndarray] = {}
+    held = 0
+
+    def hashes(print_: int, text: str) -> np.ndarray:
+        nonlocal held
+        if (h := kept.get(print_)) is None:
+            if held > KEPT:
+                kept.clear()
+                held = 0
+            h = kept[print_] = K.window_hashes(K.flatten([text])[0][:-1], length)
+            held += len(text)
+        return h
+
     for batch in batches:
-        a, b, out = [], [], {"print": [], "other": [], "start": [], "stop": []}
-        pa_, pb = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-        for p, q, x, y in zip(pa_, pb, a, b):
-            hx, hy = (K.window_hashes(K.flatten([t])[0][:-1], length) for t in (x, y))
+        out = {"print": [], "other": [], "start": [], "stop": []}
+        for p, q, x, y in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            hx, hy = hashes(p, x), hashes(q, y)
             shared = np.intersect1d(hx, hy)
-            if not len(shared):
-                continue
-            for mine, other, h in ((p, q, hx), (q, p, hy)):
-                start, stop = _merged(np.flatnonzero(np.isin(h, shared)), length)
-                out["print"] += [mine] * len(start)
-                out["other"] += [other] * len(start)
-                out["start"] += start.tolist()
-                out["stop"] += stop.tolist()
+            found = []
+            while len(shared):
+                found, wrong = [], []
+                for mine, other, h, g, t, u in ((p, q, hx, hy, x, y), (q, p, hy, hx, y, x)):
+                    start, stop = _merged(np.flatnonzero(np.isin(h, shared)), length)
+                    order = np.argsort(g, kind="stable")
+                    for s, e in zip(start.tolist(), stop.tolist()):
+                        for k in (s, e - length):
+                            at = order[np.searchsorted(g, h[k], sorter=order)]
+                            if t[k : k + length] != u[at : at + length]:
+                                wrong.append(h[k])
+                        found.append((mine, other, s, e))
+                if not wrong:
+                    break
+                shared, found = np.setdiff1d(shared, np.array(wrong, np.uint64)), []
+            for row in found:
+                for name, v in zip(out, row):
+                    out[name].append(v)
         yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out.values()], list(out))
 
 
 @dataclass(frozen=True)
 class Shared:
-    """members: id, print, n_chars; spans: print, other, start, stop of verified pairs of classes."""
+    """members: id, print, n_chars; spans: print, other, start, stop of verified pairs of classes (other
+    is null for a span that stands in many texts, where pairs were not asked for)."""
 
     members: DataFrame
     spans: DataFrame
 
 
 def _text_print(texts: DataFrame) -> DataFrame:
-    return texts.withColumn("print", F.xxhash64("text"))
+    """A class number per text, and a second one (`check`) that tells namesakes apart."""
+    return texts.withColumn("print", F.xxhash64("text")).withColumn("check", F.xxhash64(F.lit(7), "text"))
+
+
+def _told_apart(texts: DataFrame) -> DataFrame:
+    """Different texts of one class number get their second number instead.  Such numbers are about
+    n * n / 2**65 of n texts, so their table is broadcast; nearly always it is empty."""
+    twice = texts.select("print", "check").groupBy("print").agg(F.min("check").alias("low"), F.max("check").alias("high")).filter("low <> high").select("print", F.lit(True).alias("twice"))
+    twice = written(twice, "namesakes")
+    if twice.isEmpty():
+        return texts
+    return texts.join(F.broadcast(twice), "print", "left").withColumn("print", F.when(F.col("twice"), F.col("check")).otherwise(F.col("print"))).drop("twice")
 
 
 def _text_of(texts: DataFrame, members: DataFrame, classes: DataFrame) -> DataFrame:
@@ -141,45 +181,60 @@ def _text_of(texts: DataFrame, members: DataFrame, classes: DataFrame) -> DataFr
     return first.join(maybe_in(texts.select("id", "text"), "id", first.select("id"), "id"), "id")
 
 
-def shared_spans(df: DataFrame, id_col: str, text_col: str, *, length: int = 200, group: int = GROUP) -> Shared:
+def shared_spans(df: DataFrame, id_col: str, text_col: str, *, length: int = 200, group: int = GROUP, pairs: bool = True) -> Shared:
     """Runs of `length` or more consecutive identical characters that stand in two texts.
 
     Identical texts form a class and are compared once.  Null ids or texts, and texts shorter than
     `length`, are no members.  A run repeated inside one text is no case by itself.  Ties and
     repeated rows change nothing; other columns are not read; an empty table gives empty tables.
+
+    With `pairs` = False only the shared places of each text are sought: what stands in more than
+    `group` texts is then told by the owners of its windows, and no pair of such texts is formed.
     """
     spark = df.sparkSession
     texts = _text_print(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("id").isNotNull() & (F.length("text") >= length)))
+    size = input_bytes(texts)
+    texts = _told_apart(texts)
     members = written(texts.select("id", "print", F.length("text").alias("n_chars")), "members")
-    found = written(
-        spread(texts.select("print", "text")).mapInArrow(partial(_anchor_rows, length=length), "digest long, print long, place long")
-        .repartition("digest").sortWithinPartitions("digest")
-        .mapInArrow(partial(_groups, limit=group), "kind int, a long, b long"),
-        "anchors",
-    )
+    anchors = spread(texts.select("print", "text")).mapInArrow(partial(_anchor_rows, length=length), "digest long, print long, place long")
+    found = written(gathered(anchors, "digest", size=size).sortWithinPartitions("digest").mapInArrow(partial(_groups, limit=group), "kind int, a long, b long"), "anchors")
     release(spark)
-    pairs = found.filter("kind = 1").select("a", "b").distinct()
-    hot = found.filter("kind = 2")
+    linked = found.filter("kind = 1").select("a", "b").distinct()
+    hot, common = found.filter("kind = 2"), None
     if not hot.isEmpty():
         places = hot.groupBy(F.col("a").alias("print")).agg(F.collect_set("b").alias("places"))
         windows = _text_of(texts, members, places).select("print", "text", "places").mapInArrow(partial(_around, length=length), "digest long, print long, place long")
-        pairs = pairs.union(window_pairs(windows)).distinct()
-    pairs = written(pairs, "pairs")
-    named = _text_of(texts, members, pairs.select(F.col("a").alias("print")).union(pairs.select("b")).distinct())
+        if pairs:
+            linked = linked.union(window_pairs(windows)).distinct()
+        else:
+            common = window_spans(written(windows, "windows"), length)
+    linked = written(linked, "pairs")
+    named = _text_of(texts, members, linked.select(F.col("a").alias("print")).union(linked.select("b")).distinct())
     wanted = (
-        pairs.join(named.select(F.col("print").alias("a"), F.col("text").alias("text_a")), "a")
+        linked.join(named.select(F.col("print").alias("a"), F.col("text").alias("text_a")), "a")
         .join(named.select(F.col("print").alias("b"), F.col("text").alias("text_b")), "b")
         .select("a", "b", "text_a", "text_b")
     )
-    spans = written(wanted.mapInArrow(partial(_checked, length=length), "print long, other long, start long, stop long"), "spans")
+    spans = wanted.mapInArrow(partial(_checked, length=length), "print long, other long, start long, stop long")
+    spans = written(spans.unionByName(common) if common is not None else spans, "spans")
+    discard(found, linked)
     release(spark)
     return Shared(members, spans)
 
 
+def window_spans(windows: DataFrame, length: int) -> DataFrame:
+    """Places of windows that stand in two or more classes.  A window's owners are only compared as
+    least and greatest, so one that stands everywhere costs one row per owner."""
+    shared = windows.groupBy("digest").agg(F.min("print").alias("low"), F.max("print").alias("high")).filter("low <> high").select("digest")
+    hit = windows.join(shared, "digest", "left_semi")
+    return hit.select("print", F.lit(None).cast("long").alias("other"), F.col("place").alias("start"), (F.col("place") + length).alias("stop"))
+
+
 def window_pairs(windows: DataFrame) -> DataFrame:
     """Pairs of classes with an equal window: each is a true pair, so the join is bounded by the result."""
-    left = windows.select("digest", F.col("print").alias("a"))
-    right = windows.select("digest", F.col("print").alias("b"))
+    own = windows.select("digest", "print").distinct()
+    left = own.select("digest", F.col("print").alias("a"))
+    right = own.select("digest", F.col("print").alias("b"))
     return left.join(right, "digest").filter("a < b").select("a", "b").distinct()
 
 
