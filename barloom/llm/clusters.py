@@ -32,6 +32,8 @@ BLOCK = 4_096
 #: Node numbers below this are partitions, the others are rows.
 CELLS = 1 << 20
 CHUNK = 2_048
+#: Clusters whose sums one task adds up before it passes them on.
+SUMS = 16_384
 
 ASSIGNED = "kind int, node long, other long, id string, vec binary"
 
@@ -383,7 +385,14 @@ def memberships(clusters: Clusters) -> DataFrame:
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[str, np.ndarray] = {}
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([v.tolist() for v in total.values()], pa.list_(pa.float64()))], ["first_id", "total"])
+
     for batch in batches:
+        if len(total) > SUMS:
+            yield out()
+            total.clear()
         x, at = unit_rows(batch.column(1))
         names = batch.column(0).take(pa.array(at)).to_pylist()
         keys, inverse = np.unique(names, return_inverse=True)
@@ -391,7 +400,7 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.add.at(part, inverse, x)
         for k, v in zip(keys.tolist(), part):
             total[k] = total[k] + v if k in total else v
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([v.tolist() for v in total.values()], pa.list_(pa.float64()))], ["first_id", "total"])
+    yield out()
 
 
 def describe(clusters: Clusters, top: int = 3) -> DataFrame:

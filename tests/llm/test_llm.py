@@ -220,9 +220,21 @@ PAGES = [
 MENTIONS = ["Cloudflare shares fell after an error took its server down", "Apache server sales rose at port Houston", "Nginx maker F5 cut its outlook", "Salesforce.com says service unavailable for two hours after upgrade", "Intel/AMD: server error rates fell", "Se a in et non", "The server at the heart of the case was seized"]
 
 
+# Held out: neither the lists' sentences nor the tables'.
+ABROAD = [
+    "404 — Страница не найдена", "Внутренняя ошибка сервера. Попробуйте позже.", "Доступ запрещён", "Пожалуйста, включите JavaScript, чтобы продолжить", "404 页面未找到", "抱歉，您访问的页面不存在。", "服务器内部错误，请稍后再试。", "请启用 JavaScript 以继续", "找不到網頁 (404)", "ページが見つかりませんでした", "ただいまメンテナンス中です。しばらくしてからもう一度お試しください。",
+    "JavaScript を有効にしてください", "페이지를 찾을 수 없습니다", "접근이 거부되었습니다 (403)", "الصفحة غير موجودة", "404 خطأ في الخادم", "Sayfa bulunamadı - 404", "Bir hata oluştu.", "Η σελίδα δεν βρέθηκε", "הדף לא נמצא", "ไม่พบหน้าที่คุณต้องการ", "सर्वर त्रुटि 500", "Strona nie została znaleziona", "Sidan kunde inte hittas (404)", "Proszę: włącz obsługę JavaScript",
+    "Nullam brevitum lorem ipsum, dorcis valdor tempus et marcit.", "Ipsum dolor quartus mollis nulla varius tempus berunt clarum.",
+]
+AT_HOME = [
+    "公司抱歉地表示服务器错误影响了客户，订单推迟到第三季度", "Компания сообщила, что сервис временно недоступен для клиентов банка", "El dolor de la caída: la porta de Nvidia en el mercado sigue abierta", "La société a déploré une erreur du serveur qui a retardé ses livraisons de mars", "サーバーエラーで決算発表が一時間遅れたと同社は述べた",
+    "Focus, status, virus, campus and bonus terms sit in the quorum memorandum", "삼성전자는 서버 오류로 주문 접수가 늦어졌다고 밝혔다",
+]
+
+
 def test_residue_beyond_the_tables():
-    assert [t for t in PAGES if residue.judge(t)[0] is None] == []
-    assert [t for t in MENTIONS if residue.judge(t)[0]] == []
+    assert [t for t in PAGES + ABROAD if residue.judge(t)[0] is None] == []
+    assert [t for t in MENTIONS + AT_HOME if residue.judge(t)[0]] == []
 
 
 def test_residue_cases(spark):
@@ -234,6 +246,32 @@ def test_residue_cases(spark):
     assert residue.residue(df.limit(0), "source_row_number", "text").count() == 0
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.binary(max_size=6) | st.text(st.sampled_from("ab"), max_size=12).map(str.encode), min_size=2, max_size=60, unique=True))
+def test_radix_split_by_the_next_byte(forms):
+    forms = sorted(forms)
+    at = layout.common_prefix(forms[0], forms[-1])
+    assert all(f[:at] == forms[0][:at] for f in forms)
+    cuts = layout.radix_split(forms)
+    assert [c[0] for c in cuts] == [0, *(c[1] for c in cuts[:-1])] and cuts[-1][1] == len(forms) and len(cuts) > 1
+    heads = [{f[at : at + 1] for f in forms[b:e]} for b, e in cuts]
+    assert all(len(h) == 1 for h in heads) and len({next(iter(h)) for h in heads}) == len(cuts)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(st.sampled_from("ab "), max_size=9).map(str.encode), min_size=1, max_size=80), st.integers(1, 9), st.integers(1, 7))
+def test_buckets_of_any_size_count_alike(keys, bucket, step):
+    import collections
+
+    import pyarrow as pa
+
+    rows = sorted((k, f"{i:03}", 1) for i, k in enumerate(keys))
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.binary()), pa.array([r[1] for r in part]), pa.array([r[2] for r in part], pa.int64())], ["form", "id", "n"]) for part in (rows[k : k + step] for k in range(0, len(rows), step))]
+    got = sorted((d, n, i) for b in layout._counted(iter(batches), bucket) for d, n, i in zip(*(c.to_pylist() for c in b.columns)))
+    many = {k: c for k, c in collections.Counter(keys).items() if c > 1}
+    assert got == sorted((layout._digest(k), c, min(i for q, i, _ in rows if q == k)) for k, c in many.items())
+
+
 def test_trie_counts():
     rng = np.random.default_rng(5)
     keys = [bytes(rng.integers(97, 100, int(rng.integers(0, 30))).astype(np.uint8)) for _ in range(3000)]
@@ -381,6 +419,8 @@ def test_shared_spans_match_brute_force(spark, group):
     want = shared_truth(rows, 200)
     assert set(got) == want and len(got) == len(set(got)) and len(want) > 20
     share = {r.id: r for r in spans.shared_shares(shared).collect()}
+    alone = spans.shared_spans(df, "doc_id", "text", length=200, group=group, pairs=False)
+    assert {r.id: r for r in spans.shared_shares(alone).collect()} == share
     for i, t in dict((r for r in rows if r[0] is not None and r[1])).items():
         if len(t) < 200:
             assert i not in share
@@ -448,6 +488,10 @@ def test_a_third_of_all_rows_in_one_group(spark):
     ).select("doc_id", F.concat("body", "head", F.sha2("body", 512)).alias("text"))
     shared = spans.shared_spans(rows, "doc_id", "text", length=200)
     assert spans.sharing_pairs(shared).count() == 0
+    longer = rows.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(notice))).otherwise(F.col("text")))
+    alone = spans.shared_spans(longer, "doc_id", "text", length=200, pairs=False)
+    assert alone.spans.filter("other is not null").count() < 20_000  # not the million rows of all pairs of the 1,000 texts
+    assert spans.shared_shares(alone).filter(f"shared_chars >= {len(notice)}").count() == 1_000
     vectors = rows.select(F.col("doc_id").cast("string").alias("event_id"), F.when(F.col("doc_id") % 3 == 0, F.array(F.lit(1.0), F.lit(0.0), F.lit(0.01))).otherwise(F.array(F.lit(0.0), F.sin("doc_id"), F.cos("doc_id"))).cast("array<float>").alias("embedding"))
     found = clusters.memberships(clusters.vector_clusters(vectors, "event_id", "embedding", block=100))
     assert found.filter("first_id = '0'").count() == 1_000
