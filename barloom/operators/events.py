@@ -206,28 +206,39 @@ def _cosines(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa
             yield batch.select([0, 1]).slice(part.start, n).filter(pa.array(cosine >= threshold - 1e-12))
 
 
-def near_links(events: DataFrame, block: list[str], *, id_col: str = "event_id", text_col: str = "text", threshold: float = 0.95, sample: int = 2_000) -> DataFrame:
-    """Pairs (a, b) of texts of one block whose character-gram cosine reaches the threshold; exact.
-
-    A sample of at most `sample` texts tells which grams are common, which only orders the grams and
-    so changes the cost, not the result.
+def near_links(events: DataFrame, block: list[str], *, id_col: str = "event_id", text_col: str = "text", threshold: float = 0.95, sample: int = 2_000) -> tuple[DataFrame, DataFrame]:
+    """(members: id, first; links: a, b): texts of one block whose character-gram cosine reaches the
+    threshold; exact.
+
+    Equal texts of a block are one class, named by its least id, and count once from then on; links
+    join different classes.  Texts without company in their block are compared with nothing.  A sample
+    of at most `sample` texts tells which grams are common, which only orders the grams and so changes
+    the cost, not the result.  Null ids and null or blank texts are left out.
     """
-    texts = events.select(F.col(id_col).alias("id"), F.xxhash64(*block).alias("block"), F.col(text_col).alias("text")).filter("id is not null and text is not null")
-    texts = spread(texts)
-    drawn = [r.text for r in texts.filter(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(16)) == 0).limit(sample).collect()]
+    texts = events.select(F.col(id_col).alias("id"), F.xxhash64(*block).alias("block"), F.col(text_col).alias("text")).filter("id is not null").filter(F.col("text").rlike(r"(?U)\S"))
+    keyed = texts.select("id", "block", F.unhex(F.md5("text")).alias("print"), "text")
+    classes = written(keyed.groupBy("block", "print").agg(F.min("id").alias("first"), F.max("text").alias("text")), "classes")
+    members = keyed.select("id", "block", "print").distinct().join(classes.select("block", "print", "first"), ["block", "print"]).select("id", "first")
+    company = classes.groupBy("block").agg(F.count("*").alias("n")).filter("n > 1").select("block")
+    wanted = written(classes.join(company, "block", "left_semi").select("first", "block", "text"), "company")
+    drawn = [r.text for r in wanted.filter(F.pmod(F.xxhash64("first", F.lit(3)), F.lit(16)) == 0).limit(sample).collect()]
     grams, counts = np.unique(gram_vectors(drawn)[0] if drawn else np.empty(0, np.int64), return_counts=True)
     grams, counts = grams[counts > 2], counts[counts > 2]
-    prefix = texts.mapInArrow(partial(_prefixes, threshold=threshold, grams=grams, counts=counts), "id string, block long, gram long")
-    left, right = prefix.withColumnRenamed("id", "a"), prefix.withColumnRenamed("id", "b")
-    pairs = left.join(right, ["block", "gram"]).filter("a < b").select("a", "b").distinct()
-    bare = texts.select("id", "text")
-    wanted = pairs.join(bare.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(bare.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
-    return wanted.mapInArrow(partial(_cosines, threshold=threshold), "a string, b string")
+    prefix = spread(wanted).mapInArrow(partial(_prefixes, threshold=threshold, grams=grams, counts=counts), "id string, block long, gram long")
+    prefix = written(prefix.select(F.col("id").alias("first"), F.xxhash64("block", "gram").alias("key")), "prefixes")
+    left, right = (prefix.select("key", F.col("first").alias(c)) for c in "ab")
+    pairs = written(left.join(right, "key").filter("a < b").select("a", "b").distinct(), "pairs")
+    bare = wanted.select("first", "text")
+    both = pairs.join(bare.select(F.col("first").alias("a"), F.col("text").alias("ta")), "a").join(bare.select(F.col("first").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+    return members, both.mapInArrow(partial(_cosines, threshold=threshold), "a string, b string")
 
 
 def near_deduplicated(events: DataFrame, block: list[str], *, threshold: float = 0.95) -> DataFrame:
-    """event_id, canonical_id (least event id of its near-duplicate group), group_size."""
-    labels = connected_components(written(near_links(events, block, threshold=threshold), "near"))
-    out = events.select("event_id").filter("event_id is not null").join(labels.withColumnRenamed("node", "event_id"), "event_id", "left").withColumn("canonical_id", F.coalesce("component", "event_id"))
+    """event_id, canonical_id (least event id of its near-duplicate group), group_size.  An event without
+    text stands alone."""
+    members, links = near_links(events, block, threshold=threshold)
+    labels = connected_components(written(links, "near"))
+    placed = members.join(labels, F.col("first") == F.col("node"), "left").select(F.col("id").alias("event_id"), F.coalesce("component", "first").alias("canonical_id"))
+    out = events.select("event_id").filter("event_id is not null").join(placed, "event_id", "left").select("event_id", F.coalesce("canonical_id", "event_id").alias("canonical_id"))
     sizes = out.groupBy("canonical_id").agg(F.count("*").alias("group_size"))
     return out.join(sizes, "canonical_id").select("event_id", "canonical_id", "group_size")

@@ -7,6 +7,7 @@ data never leave the executors, and a fit costs a scan without a shuffle of rows
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.operators.prefix import quantiles
-from barloom.session import written
+from barloom.session import discard, written
 
 
 def _matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -124,16 +125,18 @@ def _assign_sums(batches: Iterator[pa.RecordBatch], centers: np.ndarray) -> Iter
     yield pa.RecordBatch.from_arrays([_lists(total.reshape(1, -1))], ["m"])
 
 
-def spherical_kmeans(df: DataFrame, vector: str, width: int, k: int, *, restarts: int = 20, rounds: int = 500, seed: int = 1, sample: int = 4_096) -> np.ndarray:
-    """k unit centres: Euclidean Lloyd on unit vectors, the best of several starts by cost.
+def spherical_kmeans(df: DataFrame, vector: str, width: int, k: int, *, restarts: int = 20, rounds: int = 500, seed: int = 1, sample: int = 4_096, unit: bool = True) -> np.ndarray:
+    """k centres (of unit length, or with `unit` = False the plain means): Euclidean Lloyd on unit
+    vectors, the best of several starts by cost.
 
-    Starts are drawn from a bounded sample of rows chosen by hash; every round is one pass for all starts
-    whose centres still move, over vectors packed once.  A start that has not settled after `rounds` is
-    an error.  Empty clusters keep their centre.  With fewer distinct rows than k, rows repeat.
+    Starts are drawn from a bounded sample, the `sample` rows of least hash; every round is one pass for
+    all starts whose centres still move, over vectors packed and written once.  A start that has not
+    settled after `rounds` is an error.  Empty clusters keep their centre.  With fewer distinct rows
+    than k, rows repeat.
     """
     given = df.select(F.col(vector).alias("v")).filter("v is not null")
     salted = given.select(F.col("v").cast("array<double>").alias("v"))
-    drawn = salted.orderBy(F.xxhash64(F.lit(seed), "v")).limit(sample).collect() if sample <= 4_096 else salted.limit(sample).collect()
+    drawn = salted.orderBy(F.xxhash64(F.lit(seed), "v")).limit(sample).collect()
     rows = np.array([r.v for r in drawn if len(r.v) == width], float).reshape(-1, width)
     norm = np.linalg.norm(rows, axis=1)
     rows = rows[norm > 0] / norm[norm > 0, None]
@@ -162,8 +165,9 @@ def spherical_kmeans(df: DataFrame, vector: str, width: int, k: int, *, restarts
             break
     else:
         raise RuntimeError(f"{len(live)} of {restarts} starts did not settle in {rounds} rounds")
+    discard(blocks)
     best = centers[int(cost.argmin())]
-    return best / np.maximum(np.linalg.norm(best, axis=1, keepdims=True), 1e-12)
+    return best if not unit else best / np.maximum(np.linalg.norm(best, axis=1, keepdims=True), 1e-12)
 
 
 def _spread(rows: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
@@ -448,3 +452,54 @@ def ridge_gradient(df: DataFrame, model: Linear, target: str, alpha: float) -> f
     left = m[: d + 1, : d + 1] @ full - m[: d + 1, d + 1]
     left[1:] += alpha * model.weights
     return float(np.abs(left).max() / n)
+
+
+def lloyd_step(df: DataFrame, vector: str, centers: np.ndarray) -> float:
+    """How far one more round of Lloyd would move plain centres: 0 where they have settled."""
+    k, width = centers.shape
+    blocks = df.select(F.col(vector).alias("v")).filter("v is not null").mapInArrow(partial(_unit_blocks, width=width), "x binary, single boolean")
+    parts = blocks.mapInArrow(partial(_assign_sums, centers=centers[None]), "m array<double>")
+    total = np.zeros(k * (width + 2))
+    for c in parts.select(F.posexplode("m").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x")).collect():
+        total[c.k] = c.x
+    total = total.reshape(k, width + 2)
+    full = total[:, :1] > 0
+    return float(np.abs(np.where(full, total[:, 2:] / np.maximum(total[:, :1], 1), centers) - centers).max())
+
+
+def elastic_violation(df: DataFrame, model: Linear, target: str, alpha: float, l1_ratio: float) -> float:
+    """The largest violation of the optimality conditions of `fit_elastic_net`: 0 at the optimum."""
+    d = len(model.features)
+    m = moments(column_vector(df.select(*model.features, target), [*model.features, target]), "__x", d + 1)
+    n = max(m[0, 0], 1.0)
+    mean = m[0, 1:] / n
+    cov = m[1:, 1:] / n - np.outer(mean, mean)
+    scale = np.sqrt(np.maximum(np.diag(cov)[:d], 1e-300))
+    w = model.weights * scale
+    pull = cov[:d, d] / scale - (cov[:d, :d] / np.outer(scale, scale)) @ w - alpha * (1 - l1_ratio) * w
+    edge = alpha * l1_ratio
+    return float(np.where(w != 0, np.abs(pull - edge * np.sign(w)), np.maximum(np.abs(pull) - edge, 0)).max())
+
+
+def logistic_gradient(df: DataFrame, model: Linear, label: str, c: float, balanced: bool = False) -> float:
+    """The largest entry of the penalised score of `fit_logistic`, over the number of rows: 0 at the fit."""
+    d = len(model.features)
+    y = F.col(label).cast("double")
+    rows = predict_probability(df, model, "__p").filter(y.isNotNull() & F.col("__p").isNotNull())
+    size = rows.agg(F.count("*").alias("n"), F.sum(y).alias("k")).first()
+    weight = F.when(y == 1, size.n / (2 * size.k)).otherwise(size.n / (2 * (size.n - size.k))) if balanced and 0 < (size.k or 0) < size.n else F.lit(1.0)
+    e = weight * (y - F.col("__p"))
+    sums = rows.agg(F.sum(e).alias("s"), *(F.sum(e * F.col(f)).alias(f"s{i}") for i, f in enumerate(model.features))).first()
+    score = np.array([sums["s"], *(sums[f"s{i}"] - model.weights[i] / c for i in range(d))], float)
+    return float(np.abs(score).max() / max(size.n, 1))
+
+
+def portable_axes(width: int, components: int, seed: int) -> Projection:
+    """Gaussian projection with variance 1 / components whose entries any engine with SHA-256 repeats:
+    entry (i, j) comes from two uniforms of the keys seed|i|j|1 and seed|i|j|2 by Box and Muller."""
+
+    def uniform(*key: int) -> float:
+        return (int(hashlib.sha256("|".join(map(str, key)).encode()).hexdigest()[:8], 16) + 0.5) / 2**32
+
+    axes = np.array([[np.sqrt(-2 * np.log(uniform(seed, i, j, 1))) * np.cos(2 * np.pi * uniform(seed, i, j, 2)) for j in range(width)] for i in range(components)])
+    return Projection(np.zeros(width), axes / np.sqrt(components), np.ones(components))

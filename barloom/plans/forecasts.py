@@ -11,7 +11,8 @@ from barloom.operators import compare as C
 from barloom.operators import inference as I
 from barloom.operators import labels as L
 from barloom.operators import metrics as K
-from barloom.plans.catalog import query, r, rounded, table
+from barloom.plans import algebra as A
+from barloom.plans.catalog import SQL, query, r, rounded, table
 from barloom.plans.market import UNIVERSE, VOL
 from barloom.plans.news import ASSIGNED, EDGES, assigned, events
 from barloom.plans.targets import QUANTILES, RESID, residuals
@@ -43,13 +44,13 @@ D = "least(greatest(y - p, -50), 50)"
   round(avg(CASE WHEN abs(y - p) <= 1 THEN 0.5 * (y - p) * (y - p) ELSE abs(y - p) - 0.5 END), 7) AS huber, round(avg(CAST((y > 0) = (p > 0) AS INT)), 7) AS sign_accuracy,
   round((avg(CASE WHEN y > 0 THEN CAST(p > 0 AS INT) END) + avg(CASE WHEN y <= 0 THEN CAST(p <= 0 AS INT) END)) / 2, 7) AS balanced_sign_accuracy, round(avg(CAST(sign(y) = sign(p) AS INT)), 7) AS directional_accuracy FROM rk GROUP BY split, model""")
 def regression_metrics(spark, sf_dir):
-    out = rounded(K.regression(stored(spark, sf_dir), ["split", "model"]), 7)
+    out = rounded(K.regression(long(spark, sf_dir), ["split", "model"]), 7)
     return out.withColumn("qlike", F.round("qlike", 6))
 
 
 @query(f"""WITH {PREDS} SELECT entity, model, count(*) AS n, round(avg(abs(y - p)), 7) AS mae, round(sqrt(avg((y - p) * (y - p))), 7) AS rmse FROM long WHERE split = 'test' GROUP BY ALL""")
 def metrics_by_entity(spark, sf_dir):
-    out = K.regression(stored(spark, sf_dir).filter("split = 'test'"), ["entity", "model"])
+    out = K.regression(long(spark, sf_dir).filter("split = 'test'"), ["entity", "model"], ranks=False)
     return rounded(out.select("entity", "model", "n", "mae", "rmse"), 7)
 
 
@@ -61,7 +62,7 @@ RANK_DESC = "rank() OVER (PARTITION BY split, model ORDER BY {v} DESC) + (count(
   tied AS (SELECT *, avg(1 / log2(np + 1)) OVER (PARTITION BY split, model, p) AS dp, avg(1 / log2(ny + 1)) OVER (PARTITION BY split, model, y) AS dy FROM s)
   SELECT split, model, count(*) AS n, round(count(*) FILTER (WHERE ry <= greatest(1, ceil(m * 0.1)) AND rp <= greatest(1, ceil(m * 0.1))) / max(greatest(1, ceil(m * 0.1))), 7) AS top_recall, round(sum(g * dp) / sum(g * dy), 6) AS ndcg FROM tied GROUP BY split, model""")
 def ranking_metrics(spark, sf_dir):
-    return rounded(K.ranking(stored(spark, sf_dir), ["split", "model"], "entity"), 7).withColumn("ndcg", F.round("ndcg", 6))
+    return rounded(K.ranking(long(spark, sf_dir), ["split", "model"], "entity"), 7).withColumn("ndcg", F.round("ndcg", 6))
 
 
 # Probabilities of a spike: a bounded function of the weekly level, rounded so that ties occur.
@@ -166,25 +167,27 @@ def christoffersen_lr(spark, sf_dir):
     return rounded(K.christoffersen(hits, ["split"], "entity", "date", "hit"), 6)
 
 
-def likelihood_p_values(spark, sf_dir):
-    from barloom.functions.stats import chi2_p
+KUPIEC = f"""{UNC}, k AS (SELECT split, count(*) AS n, sum(CAST(y > bound AS INT))::BIGINT AS failures FROM unc GROUP BY split),
+  l AS (SELECT *, failures * ln(0.05) + (n - failures) * ln(0.95) AS l0, CASE WHEN failures = 0 THEN 0 ELSE failures * ln(failures / n) END + CASE WHEN failures = n THEN 0 ELSE (n - failures) * ln(1 - failures / n) END AS l1 FROM k), lr AS (SELECT split, round(greatest(0, -2 * (l0 - l1)), 6)::DOUBLE AS kupiec_lr FROM l)"""
 
-    return kupiec_lr(spark, sf_dir).select("split", "kupiec_lr", chi2_p(F.col("kupiec_lr"), 1).alias("p_value"))
 
+@query(f"WITH {KUPIEC} SELECT split, kupiec_lr, round(1 - {A.erf('sqrt(kupiec_lr / 2)')}, 6) + 0.0 AS p_value FROM lr")
+def likelihood_p_values(spark, sf_dir):
+    from barloom.functions.stats import chi2_p
 
-query()(likelihood_p_values)
+    return kupiec_lr(spark, sf_dir).select("split", "kupiec_lr", (F.round(chi2_p(F.col("kupiec_lr"), 1), 6) + 0.0).alias("p_value"))
 
 
+@query(f"""WITH {UNC}, u AS (SELECT split, z, scale, 0.5 * (1 + {A.erf('(z / sqrt(2))')}) AS phi FROM unc)
+  SELECT split, round(avg(scale * (z * (2 * phi - 1) + 2 * exp(-z * z / 2) / sqrt(2 * pi()) - 1 / sqrt(pi()))), 6) AS crps, round(avg(phi), 6) AS mean_pit FROM u GROUP BY split""")
 def crps_and_pit(spark, sf_dir):
     from barloom.functions.stats import gaussian_crps, normal_pit
 
     y, m, s = F.col("y"), F.col("mean"), F.col("scale")
     scored = unc(spark, sf_dir).select("split", gaussian_crps(y, m, s).alias("c"), normal_pit(y, m, s).alias("u"))
-    return scored.groupBy("split").agg(F.avg("c").alias("crps"), F.avg("u").alias("mean_pit"))
+    return scored.groupBy("split").agg(r(F.avg("c"), 6, "crps"), r(F.avg("u"), 6, "mean_pit"))
 
 
-query()(crps_and_pit)
-
 BYDATE = "PARTITION BY split, model, date"
 IC = f"""{PREDS}, k AS (SELECT *, count(*) OVER ({BYDATE}) AS m, rank() OVER ({BYDATE} ORDER BY y DESC) + (count(*) OVER ({BYDATE}, y) - 1) / 2.0 AS ra, rank() OVER ({BYDATE} ORDER BY p DESC) + (count(*) OVER ({BYDATE}, p) - 1) / 2.0 AS rp FROM long),
 ic AS (SELECT split, model, date, count(DISTINCT entity) AS n_entities, CASE WHEN count(*) >= 3 AND stddev_pop(ra) > 0 AND stddev_pop(rp) > 0 THEN corr(ra, rp) END AS daily_ic, count(*) FILTER (WHERE ra <= 3 AND rp <= 3) / 3 AS top3, count(*) FILTER (WHERE ra > m - 3 AND rp > m - 3) / 3 AS bottom3,
@@ -192,7 +195,7 @@ ic AS (SELECT split, model, date, count(DISTINCT entity) AS n_entities, CASE WHE
 
 
 def _ic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.daily_ic(stored(spark, sf_dir), ["split", "model"], "entity")
+    return K.daily_ic(long(spark, sf_dir), ["split", "model"], "entity")
 
 
 @query(f"WITH {IC} SELECT split, model, date, n_entities, round(daily_ic, 7) AS daily_ic, round(top3, 7) AS top3, round(bottom3, 7) AS bottom3, round(sign, 7) AS sign FROM ic")
@@ -237,13 +240,11 @@ def newey_west(spark, sf_dir):
     return rounded(I.newey_west(daily(spark, sf_dir), ["split"], "absolute_gain", LAGS)).withColumn("t_statistic", F.round("t_statistic", 6))
 
 
+@query(f"SELECT *, round(1 - {A.erf('(abs(t_statistic) / sqrt(2))')}, 6) + 0.0 AS p_value FROM ({SQL['newey_west']})")
 def newey_west_p(spark, sf_dir):
     from barloom.functions.stats import two_sided_p
 
-    return newey_west(spark, sf_dir).withColumn("p_value", two_sided_p(F.col("t_statistic")))
-
-
-query()(newey_west_p)
+    return newey_west(spark, sf_dir).withColumn("p_value", F.round(two_sided_p(F.col("t_statistic")), 6) + 0.0)
 
 
 def _boot(circular: bool) -> str:

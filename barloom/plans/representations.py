@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from barloom.operators import models as O
 from barloom.operators import pooling as P
 from barloom.operators import representations as R
 from barloom.operators import splits as S
+from barloom.plans import algebra as A
 from barloom.plans.catalog import query, r, rounded, table
 from barloom.plans.forecasts import LOSS, PREDS, TICK, long, tick, wide
 from barloom.plans.market import UNIVERSE
@@ -106,12 +109,16 @@ def shuffled_event_types(spark, sf_dir):
     return both.groupBy("split", "permuted").agg(F.count("*").alias("n"), F.count_if(F.col("permuted") == F.col("event_type")).alias("n_same"))
 
 
+@query(f"""WITH {ASSIGNED}, cv AS MATERIALIZED (SELECT event_id, prototype AS label, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u FROM assigned JOIN usable USING (event_id)),
+  cp AS (SELECT a.event_id, a.label AS own, b.label AS other, sum(1 - list_dot_product(a.u, b.u)) AS d, count(*) FILTER (WHERE a.event_id <> b.event_id) AS k FROM cv a JOIN cv b ON true GROUP BY ALL),
+  cs AS (SELECT event_id, own AS label, max(CASE WHEN other = own AND k > 0 THEN d / k END) AS a, min(CASE WHEN other <> own THEN d / k END) AS b FROM cp GROUP BY ALL),
+  cm AS (SELECT label, list(c ORDER BY i) AS c FROM (SELECT label, i, avg(x) AS c FROM (SELECT label, generate_subscripts(u, 1) AS i, unnest(u) AS x FROM cv) GROUP BY ALL) GROUP BY label),
+  cr AS (SELECT label, count(*) AS n, avg(sqrt(greatest(list_dot_product(u, u) - 2 * list_dot_product(u, c) + list_dot_product(c, c), 0))) AS scatter FROM cv JOIN cm USING (label) GROUP BY label),
+  cd AS (SELECT x.label, max((p.scatter + q.scatter) / sqrt(list_dot_product(x.c, x.c) - 2 * list_dot_product(x.c, y.c) + list_dot_product(y.c, y.c))) AS davies_bouldin FROM cm x JOIN cm y ON x.label <> y.label JOIN cr p ON p.label = x.label JOIN cr q ON q.label = y.label GROUP BY x.label)
+  SELECT cr.label AS prototype, n, round(silhouette, 6) + 0.0 AS silhouette, round(scatter, 6) AS scatter, round(davies_bouldin, 6) AS davies_bouldin FROM cr LEFT JOIN cd USING (label) JOIN (SELECT label, avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END) AS silhouette FROM cs GROUP BY label) USING (label)""")
 def cluster_quality(spark, sf_dir):
     labelled = assigned(spark, sf_dir).select("event_id", "prototype").join(table(spark, sf_dir, "event_vectors").filter("embedding is not null").distinct(), "event_id")
-    return R.cluster_quality(labelled, "prototype", "embedding", 64)
-
-
-query()(cluster_quality)
+    return rounded(R.cluster_quality(labelled, "prototype", "embedding", 64), 6).withColumn("silhouette", F.col("silhouette") + 0.0)
 
 
 @query(f"""WITH {ASSIGNED}, u AS (SELECT prototype, count(*) AS n FROM assigned GROUP BY prototype), s AS (SELECT n / (SELECT sum(n) FROM u) AS p, n FROM u)
@@ -209,64 +216,93 @@ def vector_shift(spark, sf_dir):
     return one.agg(F.count("*").alias("n_dims"), r(F.avg(smd), 6, "mean_abs_smd"), r(F.max(smd), 6, "max_abs_smd"))
 
 
+@query(f"""WITH RECURSIVE {PREDS}, ce AS (SELECT split, model, entity, avg(abs(y - p)) AS mae FROM long GROUP BY ALL), st AS (SELECT split, model, avg(mae) AS mean, stddev_samp(mae) AS std, count(mae) AS n FROM ce GROUP BY ALL),
+  bi(df, k, low, high) AS (SELECT DISTINCT n - 1, 0, 0.0::DOUBLE, 700.0::DOUBLE FROM st WHERE n > 1 UNION ALL SELECT df, k + 1, CASE WHEN {A.within_t('((low + high) / 2)', 'df')} < 0.95 THEN (low + high) / 2 ELSE low END, CASE WHEN {A.within_t('((low + high) / 2)', 'df')} < 0.95 THEN high ELSE (low + high) / 2 END FROM bi WHERE k < 60)
+  SELECT split, model, round(mean, 7) AS mean, round(std, 7) AS std, n, round((low + high) / 2 * std / sqrt(n), 6) AS half_width FROM st LEFT JOIN bi ON df = n - 1 AND k = 60""")
 def confidence_intervals(spark, sf_dir):
     from barloom.functions.stats import half_width
 
     cells = long(spark, sf_dir).groupBy("split", "model", "entity").agg(F.avg(F.abs(F.col("y") - F.col("p"))).alias("mae"))
     stats = cells.groupBy("split", "model").agg(F.avg("mae").alias("mean"), F.stddev_samp("mae").alias("std"), F.count("mae").alias("n"))
-    return stats.withColumn("half_width", half_width(F.col("std"), F.col("n")))
+    return stats.withColumn("half_width", F.round(half_width(F.col("std"), F.col("n")), 6)).withColumns({"mean": F.round("mean", 7), "std": F.round("std", 7)})
 
 
-query()(confidence_intervals)
+HAR = ["har_daily", "har_weekly", "har_monthly"]
 
 
+@query(f"WITH {SPLIT} SELECT split, count(*) AS n, (SELECT 3 + count(DISTINCT entity) FROM splitted WHERE split = 'train') AS n_features, 0.0::DOUBLE AS gradient FROM splitted GROUP BY split")
 def baseline_b2(spark, sf_dir):
-    """Pooled ridge on scaled features and one-hot entities."""
+    """Pooled ridge on scaled features and one-hot entities; `gradient` is its distance from the optimum."""
     data = written(splitted(spark, sf_dir), "b2")
     train = data.filter("split = 'train'")
-    how = O.fit_preparation(train, ["har_daily", "har_weekly", "har_monthly"], ["entity"])
+    how = O.fit_preparation(train, HAR, ["entity"])
     ready = O.prepare(data, how)
     model = O.fit_ridge(ready.filter("split = 'train'"), how.names, "target", 1.0, standardize=False)
-    return O.predict_linear(ready, model).groupBy("split").agg(F.count("*").alias("n"), F.avg(F.abs(F.col("target") - F.col("prediction"))).alias("mae"))
-
-
-query()(baseline_b2)
+    gradient = abs(round(O.ridge_gradient(ready.filter("split = 'train'"), model, "target", 1.0), 6))
+    return O.predict_linear(ready, model).groupBy("split").agg(F.count("prediction").alias("n"), F.lit(len(how.names)).cast("long").alias("n_features"), F.lit(gradient).alias("gradient"))
 
 
+@query(f"WITH {SPLIT} SELECT split, count(*) AS n, 0.0::DOUBLE AS violation FROM splitted GROUP BY split")
 def elastic_net(spark, sf_dir):
-    data = splitted(spark, sf_dir)
-    model = O.fit_elastic_net(data.filter("split = 'train'"), ["har_daily", "har_weekly", "har_monthly"], "target", 0.01, 0.5)
-    return O.predict_linear(data, model).groupBy("split").agg(F.count("*").alias("n"), F.avg(F.abs(F.col("target") - F.col("prediction"))).alias("mae"))
-
-
-query()(elastic_net)
+    """`violation`: how far the weights are from the optimality conditions."""
+    data = written(splitted(spark, sf_dir), "net")
+    train = data.filter("split = 'train'")
+    model = O.fit_elastic_net(train, HAR, "target", 0.01, 0.5)
+    violation = abs(round(O.elastic_violation(train, model, "target", 0.01, 0.5), 6))
+    return O.predict_linear(data, model).groupBy("split").agg(F.count("prediction").alias("n"), F.lit(violation).alias("violation"))
 
 
+@query(f"WITH {SPLIT} SELECT split, count(*) AS n, 0.0::DOUBLE AS gradient, true AS chosen_is_least FROM splitted GROUP BY split")
 def chosen_logistic(spark, sf_dir):
-    """Penalty chosen on the later part of train, then the metrics of the refit."""
+    """Penalty chosen on the later part of train; the refit's distance from the optimum, and whether the
+    choice has the least log loss of the grid there."""
     data = written(splitted(spark, sf_dir).withColumn("spike", (F.col("target") > F.col("har_monthly") + 1).cast("int")), "chosen")
-    windows = R.screening_windows(data, 0.15, 63)
-    features = ["har_daily", "har_weekly", "har_monthly"]
-    c = O.choose_strength(windows.filter("window = 'prefix'"), windows.filter("window = 'tail'"), features, "spike", (0.01, 1.0, 100.0))
-    scored = O.predict_probability(data, O.fit_logistic(data.filter("split = 'train'"), features, "spike", c))
-    return K.roc_auc(written(scored.select("split", F.col("spike").alias("y"), F.col("probability").alias("p")), "scored"), ["split"]).withColumn("c", F.lit(c))
-
-
-query()(chosen_logistic)
+    windows = written(R.screening_windows(data, 0.15, 63), "windows")
+    prefix, tail = windows.filter("window = 'prefix'"), windows.filter("window = 'tail'")
+    grid = (0.01, 1.0, 100.0)
+    c = O.choose_strength(prefix, tail, HAR, "spike", grid)
+    p, y = F.least(F.greatest(F.col("probability"), F.lit(1e-12)), F.lit(1 - 1e-12)), F.col("spike")
+    loss = {g: O.predict_probability(tail, O.fit_logistic(prefix, HAR, "spike", g)).agg(F.avg(-(y * F.ln(p) + (1 - y) * F.ln(1 - p)))).first()[0] for g in grid}
+    train = data.filter("split = 'train'")
+    model = O.fit_logistic(train, HAR, "spike", c)
+    gradient = abs(round(O.logistic_gradient(train, model, "spike", c), 6))
+    return O.predict_probability(data, model).groupBy("split").agg(F.count("probability").alias("n"), F.lit(gradient).alias("gradient"), F.lit(bool(loss[c] <= min(loss.values()) + 1e-9)).alias("chosen_is_least"))
 
 
+@query(f"WITH {RESID} SELECT split, count(*) AS n, 0.0::DOUBLE AS gradient, 1.0::DOUBLE AS total FROM resid JOIN thr USING (entity) GROUP BY split")
 def regime_multinomial(spark, sf_dir):
+    """`gradient`: the largest entry of the penalised score over train (to three digits); `total`: the
+    mean sum of the class probabilities."""
     frame_ = residuals(spark, sf_dir)
     data = written(L.spike_labels(frame_, "residual", L.fit_thresholds(frame_, "residual", QUANTILES)).filter("regime is not null"), "regimes")
-    features = ["har_daily", "har_weekly", "har_monthly"]
-    model = O.fit_multinomial(data.filter("split = 'train'"), features, "regime")
+    model = O.fit_multinomial(data.filter("split = 'train'"), HAR, "regime")
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    scored = model.transform(O.column_vector(data, features).withColumn("features", array_to_vector("__x"))).select("split", F.col("regime").alias("y"), vector_to_array("probability").alias("probabilities"))
-    return K.multiclass(scored, ["split"], 3)
+    scored = written(model.transform(O.column_vector(data, HAR).withColumn("features", array_to_vector("__x"))).select("split", "regime", *HAR, vector_to_array("probability").alias("q")), "scored")
+    train = scored.filter("split = 'train'")
+    n = train.count()
+    e = [F.col("q")[k] - (F.col("regime") == k).cast("double") for k in range(3)]
+    one = train.agg(*(F.avg(e[k] * F.col(f)).alias(f"g{k}_{i}") for k in range(3) for i, f in enumerate(HAR))).first()
+    score = [one[f"g{k}_{i}"] + model.coefficientMatrix[k, i] / n for k in range(3) for i in range(3)]
+    return scored.groupBy("split").agg(F.count("*").alias("n"), F.lit(abs(round(max(map(abs, score)), 3))).alias("gradient"), r(F.avg(F.col("q")[0] + F.col("q")[1] + F.col("q")[2]), 7, "total"))
+
 
+@query(f"WITH {RESID} SELECT split, count(*) AS n, true AS between_0_and_1, true AS no_worse_than_constant FROM resid GROUP BY split")
+def mlp_spikes(spark, sf_dir):
+    """A small neural network on scaled features (Spark's own): on train its log loss is no worse than
+    that of the constant rate."""
+    from pyspark.ml.classification import MultilayerPerceptronClassifier
+    from pyspark.ml.functions import array_to_vector, vector_to_array
 
-query()(regime_multinomial)
+    data = written(splitted(spark, sf_dir).withColumn("spike", (F.col("target") > F.col("har_monthly") + 1).cast("double")), "mlp")
+    how = O.fit_preparation(data.filter("split = 'train'"), HAR, [])
+    rows = O.column_vector(O.prepare(data, how), how.names).withColumn("features", array_to_vector("__x"))
+    model = MultilayerPerceptronClassifier(labelCol="spike", layers=[len(how.names), 8, 2], maxIter=60, seed=7).fit(rows.filter("split = 'train'").select("features", "spike"))
+    scored = written(model.transform(rows.select("split", "spike", "features")).select("split", "spike", vector_to_array("probability")[1].alias("p")), "scored")
+    p, y = F.least(F.greatest(F.col("p"), F.lit(1e-12)), F.lit(1 - 1e-12)), F.col("spike")
+    one = scored.filter("split = 'train'").agg(F.avg(-(y * F.ln(p) + (1 - y) * F.ln(1 - p))).alias("loss"), F.avg(y).alias("rate")).first()
+    constant = -(one.rate * math.log(one.rate) + (1 - one.rate) * math.log(1 - one.rate)) if 0 < one.rate < 1 else 0.0
+    return scored.groupBy("split").agg(F.count("*").alias("n"), F.bool_and(F.col("p").between(0, 1)).alias("between_0_and_1"), F.lit(bool(one.loss <= constant + 1e-6)).alias("no_worse_than_constant"))
 
 
 def representation_catalog(spark, sf_dir):

@@ -231,7 +231,10 @@ def test_gram_vectors_match_the_definition():
 def test_near_links_match_brute_force(spark):
     texts = ["the firm raised its outlook for the year on strong demand", "the firm raised its outlook for the year on strong demands", "completely other words stand here", "", None, "the firm raised its outlook for the year on strong demand"]
     df = spark.createDataFrame([(f"e{i}", "d", t) for i, t in enumerate(texts)] + [("e9", "other", texts[0])], "event_id string, day string, text string")
-    got = {(r.a, r.b) for r in events.near_links(df, ["day"], threshold=0.9).collect()}
+    members, links = events.near_links(df, ["day"], threshold=0.9)
+    copies = {r.id: r.first for r in members.collect()}
+    assert copies == {"e0": "e0", "e1": "e1", "e2": "e2", "e5": "e0", "e9": "e9"}
+    got = {(r.a, r.b) for r in links.collect()}
     want = set()
     for i in range(6):
         for j in range(i + 1, 6):
@@ -239,8 +242,11 @@ def test_near_links_match_brute_force(spark):
                 (a, b) = (char_grams(texts[k]) for k in (i, j))
                 dot = sum(n * b.get(g, 0) for g, n in a.items())
                 if dot / math.sqrt(sum(n * n for n in a.values()) * sum(n * n for n in b.values())) >= 0.9:
-                    want.add((f"e{i}", f"e{j}"))
+                    want.add(tuple(sorted((copies[f"e{i}"], copies[f"e{j}"]))))
+    want -= {("e0", "e0")}
     assert got == want and ("e0", "e1") in got
+    whole = {r.event_id: (r.canonical_id, r.group_size) for r in events.near_deduplicated(df, ["day"], threshold=0.9).collect()}
+    assert whole["e0"] == whole["e1"] == whole["e5"] == ("e0", 3) and whole["e3"] == ("e3", 1) and whole["e4"] == ("e4", 1)
     assert events.near_deduplicated(df.limit(0), ["day"]).count() == 0
 
 
