@@ -81,7 +81,7 @@ def dedup_summary(spark, sf_dir):
 
 @query(r"""WITH RECURSIVE ev AS (SELECT event_id, text, feature_date, news_level, CASE WHEN news_level = 'target' THEN target_ticker ELSE '__shared__' END AS scope FROM analyze_prototypes),
   bp AS MATERIALIZED (SELECT a.event_id AS a, b.event_id AS b FROM ev a JOIN ev b ON a.feature_date IS NOT DISTINCT FROM b.feature_date AND a.news_level IS NOT DISTINCT FROM b.news_level AND a.scope IS NOT DISTINCT FROM b.scope AND a.event_id < b.event_id AND a.text IS NOT NULL AND b.text IS NOT NULL),
-  bt AS (SELECT event_id, ' ' || unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> '')) || ' ' AS w FROM ev WHERE event_id IN (SELECT a FROM bp UNION SELECT b FROM bp)),
+  bt AS (SELECT event_id, ' ' || unnest(list_filter(regexp_split_to_array(lower(text), '[\t-\r\x{1c}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+'), lambda w: w <> '')) || ' ' AS w FROM ev WHERE event_id IN (SELECT a FROM bp UNION SELECT b FROM bp)),
   gr AS MATERIALIZED (SELECT event_id, substr(w, i, n) AS gram, count(*)::DOUBLE AS c FROM (SELECT event_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM bt, (VALUES (3), (4), (5)) k(n)) GROUP BY ALL),
   nm AS (SELECT event_id, sqrt(sum(c * c)) AS norm FROM gr GROUP BY event_id), gx AS MATERIALIZED (SELECT bp.a, bp.b, gram, c FROM bp JOIN gr ON event_id = bp.a), cs AS MATERIALIZED (SELECT a, b, sum(gx.c * gr.c) AS dot FROM gx JOIN gr ON gr.event_id = b AND gr.gram = gx.gram GROUP BY ALL),
   lk AS MATERIALIZED (SELECT a, b FROM cs JOIN nm p ON p.event_id = a JOIN nm q ON q.event_id = b WHERE dot / (p.norm * q.norm) >= 0.95 - 1e-12), ed AS (SELECT a AS x, b AS y FROM lk UNION ALL SELECT b, a FROM lk),
