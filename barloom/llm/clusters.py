@@ -38,8 +38,8 @@ SUMS = 16_384
 ASSIGNED = "kind int, node long, other long, id string, vec binary"
 
 
-def unit_rows(column: pa.Array, width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Usable vectors of a list column as unit rows, and their positions.
+def unit_rows(column: pa.Array, width: int | None = None, kind: type = np.float32) -> tuple[np.ndarray, np.ndarray]:
+    """Usable vectors of a list column as unit rows of that kind, and their positions.
 
     Null or all-zero vectors, vectors with null or non-finite entries, and vectors of another length
     than the first usable one (or `width`) are not usable.
@@ -54,7 +54,7 @@ def unit_rows(column: pa.Array, width: int | None = None) -> tuple[np.ndarray, n
     x = values[offsets[at][:, None] + np.arange(width)]
     norm = np.sqrt((x.astype(np.float64) ** 2).sum(axis=1))
     ok = np.isfinite(norm) & (norm > 0)
-    return (x[ok] / norm[ok, None]).astype(np.float32), at[ok]
+    return (x[ok] / norm[ok, None]).astype(kind), at[ok]
 
 
 @dataclass(frozen=True)
@@ -393,7 +393,7 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(total) > SUMS:
             yield out()
             total.clear()
-        x, at = unit_rows(batch.column(1))
+        x, at = unit_rows(batch.column(1), kind=np.float64)
         names = batch.column(0).take(pa.array(at)).to_pylist()
         keys, inverse = np.unique(names, return_inverse=True)
         part = np.zeros((len(keys), x.shape[1]))
@@ -408,7 +408,7 @@ def describe(clusters: Clusters, top: int = 3) -> DataFrame:
     those nearest to the mean direction (the first of them is the representative), ties by id."""
     placed = _with_cluster(clusters.members.distinct(), clusters.nodes).select("id", "first_id")
     sizes = placed.groupBy("first_id").agg(F.count("*").alias("n_members")).filter("n_members > 1")
-    rows = clusters.vectors.select("id", "v").join(placed, "id").select("first_id", "id", "v")
+    rows = clusters.vectors.select("id", "v").distinct().join(placed, "id").select("first_id", "id", "v")
     sums = rows.select("first_id", "v").mapInArrow(_sums, "first_id string, total array<double>")
     means = sums.select("first_id", F.posexplode("total").alias("k", "x")).groupBy("first_id", "k").agg(F.sum("x").alias("x"))
     means = means.groupBy("first_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("mean"))

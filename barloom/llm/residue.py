@@ -133,6 +133,7 @@ SLOTS = re.compile(
 TAGS = re.compile(r"</?(?:html|head|title|body|meta|h[1-6]|p|div|span|center|hr|br|b|i|strong|em|a|ul|li|pre|noscript|script|style)\b[^<>]*>|<!doctype[^<>]*>|<!--.*?-->", re.I | re.S)
 #: Words; scripts without blanks between words are cut into characters, so a phrase is found anywhere.
 WORD = re.compile(r"[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\u0e00-\u0e7f]|(?:(?![\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\u0e00-\u0e7f])[\w\u0900-\u097f](?<!_))+")
+PLAIN = re.compile(r"[a-z0-9]+")  # the same on ASCII texts
 # Addresses, paths and hosts that servers insert into their phrases.
 HOST = r"[\w-]+(?:\.[\w-]+)+(?::\d+)?"
 PLACES = re.compile(
@@ -170,7 +171,8 @@ def judge(text: str, coverage: float = COVERAGE) -> tuple[str | None, float]:
     """The kind of residue of a text (None: content) and the covered share."""
     if SLOTS.search(text):
         return "slot", 1.0
-    tokens = [w for w in WORD.findall(PLACES.sub(" ", TAGS.sub(" ", text)).lower()) if not FREE.fullmatch(w)]
+    bare = PLACES.sub(" ", TAGS.sub(" ", text) if "<" in text else text).lower()
+    tokens = [w for w in (PLAIN if bare.isascii() else WORD).findall(bare) if not FREE.fullmatch(w)]
     if not tokens:
         return None, 0.0
     line = f" {' '.join(tokens)} "
