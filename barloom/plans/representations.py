@@ -115,10 +115,10 @@ def shuffled_event_types(spark, sf_dir):
   cm AS (SELECT label, list(c ORDER BY i) AS c FROM (SELECT label, i, avg(x) AS c FROM (SELECT label, generate_subscripts(u, 1) AS i, unnest(u) AS x FROM cv) GROUP BY ALL) GROUP BY label),
   cr AS (SELECT label, count(*) AS n, avg(sqrt(greatest(list_dot_product(u, u) - 2 * list_dot_product(u, c) + list_dot_product(c, c), 0))) AS scatter FROM cv JOIN cm USING (label) GROUP BY label),
   cd AS (SELECT x.label, max((p.scatter + q.scatter) / sqrt(list_dot_product(x.c, x.c) - 2 * list_dot_product(x.c, y.c) + list_dot_product(y.c, y.c))) AS davies_bouldin FROM cm x JOIN cm y ON x.label <> y.label JOIN cr p ON p.label = x.label JOIN cr q ON q.label = y.label GROUP BY x.label)
-  SELECT cr.label AS prototype, n, round(silhouette, 6) + 0.0 AS silhouette, round(scatter, 6) AS scatter, round(davies_bouldin, 6) AS davies_bouldin FROM cr LEFT JOIN cd USING (label) JOIN (SELECT label, avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END) AS silhouette FROM cs GROUP BY label) USING (label)""")
+  SELECT cr.label AS prototype, n, round(silhouette, 6) + 0.0 AS silhouette, round(scatter, 6) AS scatter, round(davies_bouldin, 5) AS davies_bouldin FROM cr LEFT JOIN cd USING (label) JOIN (SELECT label, avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END) AS silhouette FROM cs GROUP BY label) USING (label)""")
 def cluster_quality(spark, sf_dir):
     labelled = assigned(spark, sf_dir).select("event_id", "prototype").join(table(spark, sf_dir, "event_vectors").filter("embedding is not null").distinct(), "event_id")
-    return rounded(R.cluster_quality(labelled, "prototype", "embedding", 64), 6).withColumn("silhouette", F.col("silhouette") + 0.0)
+    return rounded(R.cluster_quality(labelled, "prototype", "embedding", 64), 6).withColumns({"silhouette": F.col("silhouette") + 0.0, "davies_bouldin": F.round("davies_bouldin", 5)})
 
 
 @query(f"""WITH {ASSIGNED}, u AS (SELECT prototype, count(*) AS n FROM assigned GROUP BY prototype), s AS (SELECT n / (SELECT sum(n) FROM u) AS p, n FROM u)
