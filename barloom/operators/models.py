@@ -14,7 +14,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.operators.prefix import quantiles
@@ -426,21 +426,105 @@ def match_centers(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, float]]:
     return sorted(((j, i, float(-c[i, j])) if flip else (i, j, float(-c[i, j]))) for i, j in pairs)
 
 
-def choose_alpha(train: DataFrame, validation: DataFrame, features: list[str], target: str, alphas: tuple[float, ...]) -> tuple[Linear, list[tuple[float, float]]]:
-    """The ridge whose validation error, as the mean over offsets of their mean absolute errors, is least
-    (ties to the smaller penalty): the model and (alpha, error) of each.  The moments are the same for
-    every penalty, so train is read once; `validation` has a column `offset`."""
+@dataclass(frozen=True)
+class Grouped:
+    """A ridge on a few features and one-hot values of a column, whose weights are a table: `moments` has
+    one row per value, from which `effect` gives the weight of the value."""
+
+    linear: Linear
+    group: str
+    alpha: float
+    moments: DataFrame
+
+    @property
+    def effect(self) -> Column:
+        d = len(self.linear.features)
+        rest = F.col(f"__m0_{d + 1}") - F.col("__m0_0") * F.lit(self.linear.intercept)
+        for j, w in enumerate(self.linear.weights):
+            rest = rest - F.col(f"__m0_{j + 1}") * F.lit(float(w))
+        return F.when(F.col("__m0_0") > 0, rest / (F.col("__m0_0") + F.lit(self.alpha))).otherwise(F.lit(0.0))
+
+
+def group_moments(df: DataFrame, features: list[str], target: str, group: str) -> DataFrame:
+    """Per value of a column the sums of products of (1, features, target) over the rows without a null or
+    non-finite value; a value without such a row has zeros.  Any number of values."""
+    v = [F.lit(1.0), *(F.col(c).cast("double") for c in [*features, target])]
+    ok = F.lit(True)
+    for c in v[1:]:
+        ok = ok & F.coalesce(F.abs(c) < F.lit(float("inf")), F.lit(False))
+    cells = {f"__m{i}_{j}": v[i] * v[j] for i in range(len(v)) for j in range(i, len(v))}
+    return written(df.groupBy(group).agg(*(F.sum(F.when(ok, x).otherwise(0.0)).alias(n) for n, x in cells.items())), "moments")
+
+
+def fit_grouped(df: DataFrame, features: list[str], target: str, group: str, alphas: tuple[float, ...]) -> list[Grouped]:
+    """Ridges, one per penalty, on features and the one-hot values of `group` (a null has zeros everywhere),
+    none of them scaled; the intercept is not penalised.
+
+    The one-hot block of the normal equations is diagonal, so it is eliminated: what is left of each
+    value's moments is summed, a system of the features alone is solved, and the weights of the values
+    follow from it.  This is the same solution, and neither a task nor the driver holds a matrix or a
+    list as wide as the number of values.  The rows are read once for all penalties.
+    """
     d = len(features)
-    m = moments(column_vector(train.select(*features, target), [*features, target]), "__x", d + 1)
-    fits = [(a, solve_ridge(m, features, a, False)) for a in sorted(alphas)]
-    rows = validation
-    for k, (_, model) in enumerate(fits):
-        rows = predict_linear(rows, model, f"__p{k}")
+    sums = group_moments(df, features, target, group)
+    n, at = F.col("__m0_0"), [(i, j) for i in range(d + 2) for j in range(i, d + 2)]
+    known = F.col(group).isNotNull() & (n > 0)
+
+    def left(i: int, j: int, alpha: float) -> Column:
+        cell = F.col(f"__m{i}_{j}")
+        return F.when(known, cell - F.col(f"__m0_{i}") * F.col(f"__m0_{j}") / (n + F.lit(alpha))).otherwise(cell)
+
+    total = sums.agg(*(F.coalesce(F.sum(left(i, j, a)), F.lit(0.0)).alias(f"t{k}_{i}_{j}") for k, a in enumerate(alphas) for i, j in at)).first()
+    out = []
+    for k, alpha in enumerate(alphas):
+        m = np.zeros((d + 2, d + 2))
+        for i, j in at:
+            m[i, j] = m[j, i] = total[f"t{k}_{i}_{j}"]
+        penalty = alpha * np.eye(d + 1)
+        penalty[0, 0] = 0
+        w = np.linalg.lstsq(m[: d + 1, : d + 1] + penalty, m[: d + 1, d + 1], rcond=None)[0]
+        out.append(Grouped(Linear(features, float(w[0]), w[1:]), group, float(alpha), sums))
+    return out
+
+
+def predict_grouped(df: DataFrame, models: dict[str, Grouped]) -> DataFrame:
+    """Adds the prediction of each model (its name); the models are those of one `fit_grouped`.  A value
+    that train lacked has no weight."""
+    one = next(iter(models.values()))
+    effects = one.moments.filter(F.col(one.group).isNotNull()).select(one.group, *(m.effect.alias(f"__effect_{name}") for name, m in models.items()))
+    out = df.join(effects, one.group, "left")
+    for name, m in models.items():
+        out = predict_linear(out, m.linear, name).withColumn(name, F.col(name) + F.coalesce(F.col(f"__effect_{name}"), F.lit(0.0)))
+    return out.drop(*(f"__effect_{name}" for name in models))
+
+
+def choose_alpha(train: DataFrame, validation: DataFrame, features: list[str], target: str, group: str, alphas: tuple[float, ...]) -> tuple[Grouped, list[tuple[float, float]]]:
+    """The ridge on features and the values of `group` whose validation error, as the mean over offsets of
+    their mean absolute errors, is least (ties to the smaller penalty): the model and (alpha, error) of
+    each.  Train is read once; `validation` has a column `offset`."""
+    fits = fit_grouped(train, features, target, group, tuple(sorted(alphas)))
+    rows = predict_grouped(validation, {f"__p{k}": model for k, model in enumerate(fits)})
     per = rows.groupBy("offset").agg(*(F.avg(F.abs(F.col(target) - F.col(f"__p{k}"))).alias(f"e{k}") for k in range(len(fits))))
     means = per.agg(*(F.avg(f"e{k}").alias(f"e{k}") for k in range(len(fits)))).first()
-    errors = [(a, float("inf") if means[f"e{k}"] is None else float(means[f"e{k}"])) for k, (a, _) in enumerate(fits)]
+    errors = [(m.alpha, float("inf") if means[f"e{k}"] is None else float(means[f"e{k}"])) for k, m in enumerate(fits)]
     best = min(range(len(fits)), key=lambda k: (errors[k][1], errors[k][0]))
-    return fits[best][1], errors
+    return fits[best], errors
+
+
+def grouped_gradient(df: DataFrame, model: Grouped, target: str) -> float:
+    """The largest entry of the penalised normal equations' residual, over the number of rows: 0 at the fit.
+    It is taken from the predictions of the rows, not from the sums that the fit used."""
+    features = model.linear.features
+    e = F.col(target).cast("double") - F.col("__p")
+    rows = predict_grouped(df, {"__p": model}).filter(F.abs(e) < F.lit(float("inf")))
+    per = rows.groupBy(model.group).agg(F.count("*").alias("n"), F.sum(e).alias("s"), *(F.sum(e * F.col(f)).alias(f"s{i}") for i, f in enumerate(features)))
+    effects = model.moments.select(model.group, model.effect.alias("__effect"))
+    pull = F.abs(F.col("s") - F.lit(model.alpha) * F.col("__effect"))  # null for the rows without a value, which have no weight
+    one = per.join(effects, model.group, "left").agg(F.sum("n").alias("n"), F.max(pull).alias("most"), F.sum("s").alias("s"), *(F.sum(f"s{i}").alias(f"s{i}") for i in range(len(features)))).first()
+    if not one.n:
+        return 0.0
+    score = [one.most or 0.0, one.s, *(one[f"s{i}"] - model.alpha * w for i, w in enumerate(model.linear.weights))]
+    return float(np.abs(score).max() / one.n)
 
 
 def ridge_gradient(df: DataFrame, model: Linear, target: str, alpha: float) -> float:

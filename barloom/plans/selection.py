@@ -218,15 +218,13 @@ def alpha_by_offset(spark, sf_dir):
     rows = frame.withColumn("ticker", F.split_part("entity", F.lit("/"), F.lit(2))).join(F.broadcast(edge), ["ticker", "date"], "left").na.fill(0.0, ["n_news", "n_target"])  # universe x calendar
     rows = written(rows, "alpha")
     train, validation = rows.filter("split = 'train'"), rows.filter("split = 'validation'")
-    how = O.fit_preparation(train, ["price", "n_news", "n_target"], ["entity"])
+    how = O.fit_preparation(train, ["price", "n_news", "n_target"], [])
     prepared = [O.prepare(part, how) for part in (train, validation)]
     sets = {"M0": ["z__price"], "M1": ["z__price", "z__n_news"], "M2": ["z__price", "z__n_target"], "M3": ["z__price", "z__n_news", "z__n_target"]}
-    one_hot = [c for c in how.names if c.startswith("is__")]
-    out = []
+    n_train, out = train.count(), []
     for name, features in sets.items():
-        model, errors = O.choose_alpha(prepared[0], prepared[1], [*features, *one_hot], "relative_target", ALPHAS)
-        best = min(errors, key=lambda e: (e[1], e[0]))[0]
-        out.append((name, len(errors), train.count(), abs(round(O.ridge_gradient(prepared[0], model, "relative_target", best), 6)), all(min(errors, key=lambda e: e[1])[1] <= e for _, e in errors)))
+        model, errors = O.choose_alpha(prepared[0], prepared[1], features, "relative_target", "entity", ALPHAS)
+        out.append((name, len(errors), n_train, abs(round(O.grouped_gradient(prepared[0], model, "relative_target"), 6)), all(dict(errors)[model.alpha] <= e for _, e in errors)))
     return spark.createDataFrame(out, "model_name string, n_alphas long, n_train long, gradient double, chosen_is_least boolean")
 
 

@@ -361,6 +361,26 @@ def test_ridge_matches_normal_equations(spark):
         assert np.allclose(model.weights, w) and model.intercept == pytest.approx(y.mean() - x.mean(0) @ w)
 
 
+@pytest.mark.parametrize("alpha", [0.1, 10.0])
+def test_ridge_on_many_values_of_a_column_is_that_of_one_hot_columns(spark, alpha):
+    rng = np.random.default_rng(8)
+    n, k = 3_000, 1_200
+    of, x = rng.integers(0, k, n), rng.normal(1, 2, (n, 2))
+    y = x @ [1.5, -2] + rng.normal(0, 1, k)[of] + 4
+    rows = [(None if e == 0 else f"e{e}", float(a), float(b), float(c)) for e, (a, b), c in zip(of, x, y)]
+    df = spark.createDataFrame([*rows, ("e1", None, 1.0, 1.0), ("e2", 1.0, 1.0, float("nan")), ("bare", 1.0, None, 1.0)], "g string, a double, b double, y double")
+    (model,) = models.fit_grouped(df, ["a", "b"], "y", "g", (alpha,))
+    hot = (of[:, None] == np.arange(1, k)).astype(float)
+    full = np.hstack([np.ones((n, 1)), x, hot])
+    w = np.linalg.solve(full.T @ full + alpha * np.diag([0.0] + [1.0] * (k + 1)), full.T @ y)
+    effects = {r.g: r.e for r in model.moments.select("g", model.effect.alias("e")).collect()}
+    assert np.allclose([model.linear.intercept, *model.linear.weights], w[:3]) and np.allclose([effects.get(f"e{e}", 0.0) for e in range(1, k)], w[3:]) and effects["bare"] == 0
+    assert models.grouped_gradient(df, model, "y") < 1e-9
+    new = spark.createDataFrame([("e1", 1.0, 2.0), ("new", 1.0, 2.0), (None, 1.0, 2.0)], "g string, a double, b double")
+    got = {r.g: r.p for r in models.predict_grouped(new, {"p": model}).collect()}
+    assert got["new"] == got[None] == pytest.approx(w[0] + w[1] + 2 * w[2]) and got["e1"] == pytest.approx(got["new"] + w[3])
+
+
 def test_logistic_gradient_vanishes(spark):
     rng = np.random.default_rng(7)
     x = rng.normal(0, 1, (300, 2))

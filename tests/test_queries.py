@@ -1,6 +1,7 @@
 """Every general query against its SQL on the smallest tables; those that SQL cannot express against
 plain Python over the same rows."""
 
+import shutil
 import unicodedata
 
 import numpy as np
@@ -52,6 +53,23 @@ def test_query(spark, data, name):
         compare(df, views(data), registry.oracle_sql()[name])
 
 
+@pytest.fixture(scope="module")
+def many_series(data, tmp_path_factory):
+    """The smallest tables with more than a thousand series: 80 days of each, repeated under other tickers."""
+    path = str(tmp_path_factory.mktemp("many"))
+    shutil.copy(f"{data}/analyze_prototypes.parquet", path)
+    views(data).execute(f"""copy (select b.* replace (b.source_row_number * 250 + k as source_row_number, case when k = 0 then b.ticker else trim(b.ticker) || 'X' || k end as ticker)
+        from inspect_schema b, range(250) r(k) where feature_date between date '2023-06-12' and date '2023-08-31') to '{path}/inspect_schema.parquet' (format parquet)""")
+    return path
+
+
+@pytest.mark.parametrize("name", ["alpha_by_offset"])
+def test_more_than_a_thousand_series(spark, many_series, name):
+    con = views(many_series)
+    assert con.execute("select count(distinct (source, upper(trim(ticker)))) from inspect_schema").fetchone()[0] > 1_000
+    compare(registry.queries()[name](spark, many_series), con, registry.oracle_sql()[name])
+
+
 def test_entry_has_rows(spark, data):
     import __spark_entry__
 
