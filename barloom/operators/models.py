@@ -527,17 +527,6 @@ def grouped_gradient(df: DataFrame, model: Grouped, target: str) -> float:
     return float(np.abs(score).max() / one.n)
 
 
-def ridge_gradient(df: DataFrame, model: Linear, target: str, alpha: float) -> float:
-    """The largest entry of the penalised normal equations' residual, over the number of rows: 0 at the fit."""
-    d = len(model.features)
-    m = moments(column_vector(df.select(*model.features, target), [*model.features, target]), "__x", d + 1)
-    n = max(m[0, 0], 1.0)
-    full = np.concatenate([[model.intercept], model.weights])
-    left = m[: d + 1, : d + 1] @ full - m[: d + 1, d + 1]
-    left[1:] += alpha * model.weights
-    return float(np.abs(left).max() / n)
-
-
 def lloyd_step(df: DataFrame, vector: str, centers: np.ndarray) -> float:
     """How far one more round of Lloyd would move plain centres: 0 where they have settled."""
     k, width = centers.shape

@@ -235,11 +235,12 @@ def baseline_b2(spark, sf_dir):
     """Pooled ridge on scaled features and one-hot entities; `gradient` is its distance from the optimum."""
     data = written(splitted(spark, sf_dir), "b2")
     train = data.filter("split = 'train'")
-    how = O.fit_preparation(train, HAR, ["entity"])
+    how = O.fit_preparation(train, HAR, [])
     ready = O.prepare(data, how)
-    model = O.fit_ridge(ready.filter("split = 'train'"), how.names, "target", 1.0, standardize=False)
-    gradient = abs(round(O.ridge_gradient(ready.filter("split = 'train'"), model, "target", 1.0), 6))
-    return O.predict_linear(ready, model).groupBy("split").agg(F.count("prediction").alias("n"), F.lit(len(how.names)).cast("long").alias("n_features"), F.lit(gradient).alias("gradient"))
+    (model,) = O.fit_grouped(ready.filter("split = 'train'"), how.names, "target", "entity", (1.0,))
+    gradient = abs(round(O.grouped_gradient(ready.filter("split = 'train'"), model, "target"), 6))
+    n_features = len(how.names) + model.moments.filter("entity is not null").count()
+    return O.predict_grouped(ready, {"prediction": model}).groupBy("split").agg(F.count("prediction").alias("n"), F.lit(n_features).cast("long").alias("n_features"), F.lit(gradient).alias("gradient"))
 
 
 @query(f"WITH {SPLIT} SELECT split, count(*) AS n, 0.0::DOUBLE AS violation FROM splitted GROUP BY split")

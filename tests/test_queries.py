@@ -63,7 +63,7 @@ def many_series(data, tmp_path_factory):
     return path
 
 
-@pytest.mark.parametrize("name", ["alpha_by_offset"])
+@pytest.mark.parametrize("name", ["alpha_by_offset", "baseline_b2"])
 def test_more_than_a_thousand_series(spark, many_series, name):
     con = views(many_series)
     assert con.execute("select count(distinct (source, upper(trim(ticker)))) from inspect_schema").fetchone()[0] > 1_000
