@@ -7,12 +7,13 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions import expr as X
 from barloom.operators.components import connected_components
-from barloom.session import spread, written
+from barloom.session import gathered, input_bytes, written
 
 # The news levels, and the pattern of a ticker mentioned in a text.
 LEVELS = ("macro", "sector", "related", "target")
@@ -172,65 +173,132 @@ def _parts(sizes: list[int], limit: int = 400_000) -> Iterator[slice]:
         yield slice(begin, len(sizes))
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch], threshold: float, grams: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Only the rarest grams of a text can be missed by none of its near duplicates: the rest of the
-    vector is too short to reach the threshold by itself."""
+def _joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`gram_vectors` of any number of texts, cut in parts of bounded size."""
+    vectors = [gram_vectors(texts[part]) for part in _parts([len(t) for t in texts])]
+    sizes = np.concatenate([np.diff(bounds) for _, _, bounds in vectors])
+    return np.concatenate([v[0] for v in vectors]), np.concatenate([v[1] for v in vectors]), np.concatenate([[0], np.cumsum(sizes)])
+
+
+def _folded(texts: list[str], width: int) -> np.ndarray:
+    """Per text the lengths of its vector within `width` classes of grams.  The product of two such rows is
+    at least the cosine of the texts (Cauchy and Schwarz in each class)."""
+    out = np.zeros((len(texts), width), "f4")
+    for part in _parts([max(len(t), 400) for t in texts]):
+        gram, weight, bounds = gram_vectors(texts[part])
+        of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        out[part] = np.sqrt(np.bincount(of * width + (gram & (width - 1)), weight**2, (len(bounds) - 1) * width)).reshape(-1, width)
+    return out
+
+
+def _candidates(left: np.ndarray, right: np.ndarray, same: bool, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of `left` and `right` whose product reaches `least`; within one table, each pair once."""
+    found = []
+    for i in range(0, len(left), 512):
+        x, y = np.nonzero(left[i : i + 512] @ right[i if same else 0 :].T >= least)
+        x, y = x + i, y + (i if same else 0)
+        found.append(np.stack([x, y])[:, x < y] if same else np.stack([x, y]))
+    return tuple(np.concatenate(found, axis=1))
+
+
+def _exact(texts: list[str], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosines of pairs of texts, given by position and ordered by `a`; each text is cut once."""
+    used, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    gram, weight, bounds = _joined([texts[k] for k in used])
+    known, gram = np.unique(gram, return_inverse=True)
+    a, b, size = at[: len(a)], at[len(a) :], np.diff(bounds)
+    row, out = np.zeros(len(known)), np.zeros(len(a))
+    starts = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
+    for begin, end in zip(starts, np.append(starts[1:], len(a))):
+        own = slice(bounds[a[begin]], bounds[a[begin] + 1])
+        row[gram[own]] = weight[own]
+        for part in _parts(size[b[begin:end]].tolist(), 1_000_000):
+            other = b[begin:end][part]
+            n = size[other]
+            entry = np.arange(n.sum()) + np.repeat(bounds[other] - (np.cumsum(n) - n), n)
+            out[begin:end][part] = np.bincount(np.repeat(np.arange(len(other)), n), row[gram[entry]] * weight[entry], len(other))
+        row[gram[own]] = 0
+    return out
+
+
+def _close_pairs(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Pairs of rows (block, i, j, tile, first, text) of one (block, i, j) that reach the threshold: tile i
+    with tile j, or all pairs of a tile where i = j.  Rows come in the order of (block, i, j)."""
+
+    def pairs(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        texts, first = rows.column(5).to_pylist(), rows.column(4)
+        i, j, tile = (rows.column(k).to_numpy() for k in (1, 2, 3))
+        edges = np.append(_starts(rows), len(texts))
+        size = np.fromiter((max(len(t), 400) for t in texts), np.int64, len(texts))
+        for part in _parts(np.add.reduceat(size, edges[:-1]).tolist()):  # small groups share the cutting of their texts
+            begin, end = edges[part.start], edges[part.stop]
+            own = texts[begin:end]
+            width = 1 << int(np.ceil(np.log2(min(max(2 * sum(map(len, own)) / len(own), 256), 1 << 16))))
+            folded = _folded(own, width)
+            found = []
+            for k in range(part.start, part.stop):
+                rest = np.arange(edges[k], edges[k + 1]) - begin
+                if i[edges[k]] == j[edges[k]]:
+                    x, y = _candidates(folded[rest[0] : rest[-1] + 1], folded[rest[0] : rest[-1] + 1], True, threshold - 1e-4)
+                    found.append(np.stack([rest[x], rest[y]]))
+                else:
+                    left = tile[edges[k] : edges[k + 1]] == i[edges[k]]
+                    x, y = _candidates(folded[rest[left]], folded[rest[~left]], False, threshold - 1e-4)
+                    found.append(np.stack([rest[left][x], rest[~left][y]]))
+            a, b = np.concatenate(found, axis=1)
+            if not len(a):
+                continue
+            order = np.argsort(a, kind="stable")
+            a, b = a[order], b[order]
+            close = _exact(own, a, b) >= threshold - 1e-12
+            x, y = first.take(pa.array(a[close] + begin)), first.take(pa.array(b[close] + begin))
+            up = pc.less(x, y)
+            yield pa.RecordBatch.from_arrays([pc.if_else(up, x, y), pc.if_else(up, y, x)], ["a", "b"])
+
+    held = None
     for batch in batches:
-        texts = batch.column(2).to_pylist()
-        for part in _parts([len(t) for t in texts]):
-            gram, weight, bounds = gram_vectors(texts[part])
-            of = np.repeat(np.arange(part.stop - part.start), np.diff(bounds))
-            seen = np.minimum(np.searchsorted(grams, gram), max(len(grams) - 1, 0))
-            common = np.where(grams[seen] == gram, counts[seen], 0) if len(grams) else np.zeros(len(gram), np.int64)
-            key = (of.astype(np.uint64) << np.uint64(44)) | (np.minimum(common, 4095).astype(np.uint64) << np.uint64(32)) | np.arange(len(of), dtype=np.uint64)
-            order = (np.sort(key) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            gram, of, square = gram[order], of[order], weight[order] ** 2
-            before = np.cumsum(square) - square
-            tail = 1 - (before - np.repeat(before[bounds[:-1][np.diff(bounds) > 0]], np.diff(bounds)[np.diff(bounds) > 0]))
-            keep = tail >= threshold**2 - 1e-9
-            at = pa.array(of[keep] + part.start)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(gram[keep])], ["id", "block", "gram"])
-
-
-def _cosines(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-        for part in _parts([len(x) + len(y) for x, y in zip(a, b)]):
-            n = part.stop - part.start
-            gram, weight, bounds = gram_vectors(a[part] + b[part])
-            pair = np.repeat(np.arange(2 * n) % n, np.diff(bounds))
-            order = np.argsort((pair.astype(np.uint64) << np.uint64(44)) | gram.astype(np.uint64), kind="stable")
-            gram, pair, weight = gram[order], pair[order], weight[order]
-            twice = np.flatnonzero((gram[1:] == gram[:-1]) & (pair[1:] == pair[:-1]))
-            cosine = np.bincount(pair[twice], weight[twice] * weight[twice + 1], minlength=n)
-            yield batch.select([0, 1]).slice(part.start, n).filter(pa.array(cosine >= threshold - 1e-12))
-
-
-def near_links(events: DataFrame, block: list[str], *, id_col: str = "event_id", text_col: str = "text", threshold: float = 0.95, sample: int = 2_000) -> tuple[DataFrame, DataFrame]:
+        if not len(batch):
+            continue
+        rows = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        last = int(_starts(rows)[-1])
+        if last:
+            yield from pairs(rows.slice(0, last))
+        held = rows.slice(last)
+    if held is not None:
+        yield from pairs(held)
+
+
+def _starts(rows: pa.RecordBatch) -> np.ndarray:
+    """Where a new (block, i, j) begins."""
+    new = np.zeros(len(rows), bool)
+    new[0] = True
+    for k in range(3):
+        v = rows.column(k).to_numpy()
+        new[1:] |= v[1:] != v[:-1]
+    return np.flatnonzero(new)
+
+
+def near_links(events: DataFrame, block: list[str], *, id_col: str = "event_id", text_col: str = "text", threshold: float = 0.95, tile_rows: int = 2_048, tile_chars: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
     """(members: id, first; links: a, b): texts of one block whose character-gram cosine reaches the
     threshold; exact.
 
     Equal texts of a block are one class, named by its least id, and count once from then on; links
-    join different classes.  Texts without company in their block are compared with nothing.  A sample
-    of at most `sample` texts tells which grams are common, which only orders the grams and so changes
-    the cost, not the result.  Null ids and null or blank texts are left out.
+    join different classes.  Texts without company in their block are compared with nothing.  A block
+    is one tile, or as many as keep a tile at about `tile_rows` texts and `tile_chars` characters; each
+    pair of tiles meets in one place, so no task holds a block.  There the texts are cut into grams once,
+    an upper bound of every cosine comes from one matrix product, and only pairs that it cannot rule
+    out are computed.  Null ids and null or blank texts are left out.
     """
     texts = events.select(F.col(id_col).alias("id"), F.xxhash64(*block).alias("block"), F.col(text_col).alias("text")).filter("id is not null").filter(F.col("text").rlike(r"(?U)\S"))
     keyed = texts.select("id", "block", F.unhex(F.md5("text")).alias("print"), "text")
     classes = written(keyed.groupBy("block", "print").agg(F.min("id").alias("first"), F.max("text").alias("text")), "classes")
     members = keyed.select("id", "block", "print").distinct().join(classes.select("block", "print", "first"), ["block", "print"]).select("id", "first")
-    company = classes.groupBy("block").agg(F.count("*").alias("n")).filter("n > 1").select("block")
-    wanted = written(classes.join(company, "block", "left_semi").select("first", "block", "text"), "company")
-    drawn = [r.text for r in wanted.filter(F.pmod(F.xxhash64("first", F.lit(3)), F.lit(16)) == 0).limit(sample).collect()]
-    grams, counts = np.unique(gram_vectors(drawn)[0] if drawn else np.empty(0, np.int64), return_counts=True)
-    grams, counts = grams[counts > 2], counts[counts > 2]
-    prefix = spread(wanted).mapInArrow(partial(_prefixes, threshold=threshold, grams=grams, counts=counts), "id string, block long, gram long")
-    prefix = written(prefix.select(F.col("id").alias("first"), F.xxhash64("block", "gram").alias("key")), "prefixes")
-    left, right = (prefix.select("key", F.col("first").alias(c)) for c in "ab")
-    pairs = written(left.join(right, "key").filter("a < b").select("a", "b").distinct(), "pairs")
-    bare = wanted.select("first", "text")
-    both = pairs.join(bare.select(F.col("first").alias("a"), F.col("text").alias("ta")), "a").join(bare.select(F.col("first").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
-    return members, both.mapInArrow(partial(_cosines, threshold=threshold), "a string, b string")
+    tiles = F.ceil(F.greatest(F.count("*") / F.lit(tile_rows), F.sum(F.length("text")) / F.lit(tile_chars))).cast("int")
+    company = classes.groupBy("block").agg(F.count("*").alias("n"), tiles.alias("tiles")).filter("n > 1").select("block", "tiles")
+    wanted = classes.join(company, "block").withColumn("tile", F.pmod(F.xxhash64("first", F.lit(3)), F.col("tiles")).cast("int"))
+    met = wanted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("block", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "first", "text")
+    groups = gathered(met, "block", "i", "j", size=input_bytes(classes), share=32 << 20).sortWithinPartitions("block", "i", "j")
+    return members, groups.mapInArrow(partial(_close_pairs, threshold=threshold), "a string, b string")
 
 
 def near_deduplicated(events: DataFrame, block: list[str], *, threshold: float = 0.95) -> DataFrame:

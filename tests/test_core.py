@@ -228,6 +228,44 @@ def test_gram_vectors_match_the_definition():
         assert sorted(weight[bounds[k] : bounds[k + 1]].round(9)) == sorted(round(n / norm, 9) for n in want.values())
 
 
+def test_near_texts_are_cut_once_each_however_many_stand_in_a_block(monkeypatch):
+    """Texts of one form share grams with all others of their block, so pairs must not be cut again."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"{w}{rng.integers(10**6)}" for w in ("guidance", "outlook", "revenue", "margin", "supply")) for _ in range(400)]
+    cut, plain = [], events.gram_vectors
+    monkeypatch.setattr(events, "gram_vectors", lambda t: cut.append(len(t)) or plain(t))
+    zeros = pa.array(np.zeros(400, np.int32))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(400, np.int64)), zeros, zeros, zeros, pa.array([f"e{k:03}" for k in range(400)]), pa.array([*texts[:-1], texts[0] + "0"])], ["block", "i", "j", "tile", "first", "text"])
+    found = [(r["a"], r["b"]) for part in events._close_pairs(iter([batch.slice(0, 150), batch.slice(150)]), 0.95) for r in part.to_pylist()]
+    assert found == [("e000", "e399")] and sum(cut) <= 2 * 400
+
+
+def test_near_links_do_not_depend_on_tiles_or_batches(spark):
+    rng = np.random.default_rng(5)
+    words = [f"{a}{b}" for a in ("guid", "reven", "marg", "suppl", "fab") for b in ("ance", "ues", "ins", "iers", "rics")]
+    rows = []
+    for k in range(240):
+        own = list(rng.choice(words, 30)) if k % 3 == 0 or k < 3 else rows[k - 1][2].split()
+        if k % 3:
+            own[int(rng.integers(30))] = str(rng.choice(words))
+        rows.append((f"e{k:03}", f"d{k % 2 if k % 5 else 0}", " ".join(own)))
+    df = spark.createDataFrame(rows, "event_id string, day string, text string")
+    want = set()
+    vectors = [char_grams(t) for _, _, t in rows]
+    norm = [math.sqrt(sum(n * n for n in v.values())) for v in vectors]
+    for i in range(len(rows)):
+        for j in range(i + 1, len(rows)):
+            if rows[i][1] == rows[j][1] and rows[i][2] != rows[j][2] and sum(n * vectors[j].get(g, 0) for g, n in vectors[i].items()) / (norm[i] * norm[j]) >= 0.9:
+                want.add((rows[i][0], rows[j][0]))
+    for tile in (2_048, 7):
+        members, links = events.near_links(df, ["day"], threshold=0.9, tile_rows=tile)
+        first = {r.id: r.first for r in members.collect()}
+        got = [(r.a, r.b) for r in links.collect()]
+        assert len(got) == len(set(got)) and set(got) == {tuple(sorted((first[a], first[b]))) for a, b in want} and len(got) > 20
+
+
 def test_near_links_match_brute_force(spark):
     texts = ["the firm raised its outlook for the year on strong demand", "the firm raised its outlook for the year on strong demands", "completely other words stand here", "", None, "the firm raised its outlook for the year on strong demand"]
     df = spark.createDataFrame([(f"e{i}", "d", t) for i, t in enumerate(texts)] + [("e9", "other", texts[0])], "event_id string, day string, text string")
